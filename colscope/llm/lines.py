@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import checkpoint, read
 
 _NULL_FIRST = -(2**63)
+BROADCAST_HASHES = 2_000_000  # up to so many 8-byte hashes of repeated chunks are broadcast; more are joined by shuffle
 
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2, every: int = 4, longest: int = 64) -> DataFrame:
@@ -37,7 +38,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(_cs_id, _cs_key, start, len) of all chunks but the first copy of each, in the order of id (null first), hash of the text, line."""
     chunks = line_chunks(docs, id_col, text, **how).where(F.trim(F.translate("chunk", "\n\t\r", "")) != "")
     hashed = chunks.withColumn("h", F.xxhash64("chunk"))
-    often = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = checkpoint(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_HASHES else often
     # only chunks whose hash occurs twice travel with their text; grouping by the text itself is the comparison of bytes
     some = hashed.join(often, "h", "left_semi").withColumn("at", F.struct(F.coalesce(F.col("_cs_id").cast("long"), F.lit(_NULL_FIRST)).alias("o"), F.col("_cs_key").alias("k"), F.col("start").alias("s")))
     first = some.groupBy("h", "chunk").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("fh"), F.col("chunk").alias("fc"), "first")
@@ -69,7 +71,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dro
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines and bytes before and after, and the digest of what is left."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs.select("doc_id", "text", F.col("text").alias("old")), drop_emptied=False)
     n = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), 0).otherwise(F.size(F.split(c, "\n", -1))).cast("long")
-    return out.select("doc_id", n("old").alias("n_lines"), (n("old") - n("text")).alias("n_removed"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", n("text").alias("n_lines"))
+    out = dedup_lines(docs, drop_emptied=False)
+    left = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - n("text")).alias("n_removed"), F.octet_length(left).cast("long").alias("kept_bytes"), F.sha2(left.cast("binary"), 256).alias("kept_sha256"))
