@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpoint, read
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between words
 _END = " end"  # no word holds a space: the posting whose position is the document's number of words
 BROADCAST_ROWS = 200_000  # tables of terms up to this many rows are broadcast (about 20 MB); larger ones are joined by shuffle
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")  # several times faster than regexp_extract_all
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
