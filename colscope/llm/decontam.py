@@ -1,7 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index. DataFrame operations only.
 
 1. Test items become windows of words. All training tokens are counted for the words of those windows.
-2. Each distinct window is anchored at its rarest words; the index keeps the postings (term, document, position) of anchors.
+2. Each distinct window is anchored at its rarest words; the index keeps the postings (term, document, position) of anchors,
+   each with a hash of the word that follows it, so that only places where this word fits too are sent on.
 3. Offset-adjusted postings of a window's anchors are intersected; what is left is compared word by word with the text.
 """
 
@@ -35,7 +36,7 @@ def item_windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text
 
 @dataclass
 class PositionalIndex:
-    """postings: term, id, key (hash of the text), pos; and one posting of the term ``_END`` for each document."""
+    """postings: term, id, key (hash of the text), pos, next (hash of the following word); and one posting of the term ``_END`` for each document."""
 
     postings: DataFrame
     id_col: str
@@ -44,7 +45,7 @@ class PositionalIndex:
         """(id, key, start) of each place where the indexed ``terms`` stand in a row: intersects their shifted postings."""
         rows = [(t, i) for i, t in enumerate(terms)]
         q = self.postings.sparkSession.createDataFrame(rows, "term string, off int")
-        hits = self.postings.join(F.broadcast(q), "term").select("id", "key", (F.col("pos") - F.col("off")).alias("start"), "off")
+        hits = self.postings.join(F.broadcast(q), "term").select("id", "key", (F.col("pos") - F.col("off")).alias("start"), "off").distinct()
         return hits.groupBy("id", "key", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(rows)).drop("n")
 
     def proximity(self, terms: list[str], within: int) -> DataFrame:
@@ -63,7 +64,9 @@ class PositionalIndex:
 
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "doc_id", text: str = "text") -> PositionalIndex:
     """Postings of all words of ``docs`` that stand in ``terms`` (column term), stored in the shared folder."""
-    w = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.posexplode(F.array_append(words(F.col(text)), F.lit(_END))).alias("pos", "term"))
+    w = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.array_append(words(F.col(text)), F.lit(_END)).alias("w"))
+    # outer: no filter on the size of the array is inferred, which would make the words twice
+    w = w.select("id", "key", "w", F.posexplode_outer("w").alias("pos", "term")).select("id", "key", "pos", "term", F.hash(F.get("w", F.col("pos") + 1)).alias("next"))
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(_END,)], "term string"))
     # rows that are equal in id and text are one document
     return PositionalIndex(checkpoint(w.join(_small(wanted, n_terms), "term", "left_semi")), id_col)
@@ -82,23 +85,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, anchors: in
     n_vocab = vocab.count()
     tokens = docs.select(F.explode(words(F.col(text))).alias("term"))
     freq = tokens.join(_small(vocab, n_vocab), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    each = windows.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
+    each = windows.select("win", "terms", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
+    each = each.withColumn("next", F.when(F.col("off") < F.col("len") - 1, F.hash(F.get("terms", F.col("off") + 1)))).drop("terms")
     # a word that the corpus lacks drops its whole window at the inner join
     counted = checkpoint(each.join(freq, "term"))
-    rare = Window.partitionBy("win").orderBy("df", "off")
-    anchor = counted.select("win", "len", "term", "off", F.row_number().over(rare).alias("rank"), F.count("*").over(Window.partitionBy("win")).alias("found"))
-    anchor = checkpoint(anchor.where(F.col("found") == F.col("len")).where(F.col("rank") <= anchors).select("win", "term", "off", F.least("len", F.lit(anchors)).alias("need")))
-    n_anchor = anchor.count()
+    rare = Window.partitionBy("win").orderBy(F.col("next").isNull(), "df", "off")  # the last word has no follower: only a window of one word is anchored there
+    anchor = counted.select("win", "len", "term", "next", "off", F.row_number().over(rare).alias("rank"), F.count("*").over(Window.partitionBy("win")).alias("found"))
+    need = F.least(F.greatest(F.col("len") - 1, F.lit(1)), F.lit(anchors))
+    anchor = anchor.where(F.col("found") == F.col("len")).withColumn("need", need).where("rank <= need")
+    anchor = checkpoint(anchor.select("win", "term", "next", "off", F.expr("shiftleft(1L, rank - 1)").alias("bit"), F.expr("shiftleft(1L, need) - 1").alias("all")))
+    n_anchor, n_pairs = anchor.agg(F.count("*"), F.count("next")).first()
     index = build_index(docs, anchor.select("term").distinct(), n_anchor, id_col, text)
     lengths = index.postings.where(F.col("term") == _END).select("id", "key", F.col("pos").alias("n_words")).distinct()
-    starts = index.postings.where(F.col("term") != _END).distinct().join(_small(anchor, n_anchor), "term").select("id", "key", "win", (F.col("pos") - F.col("off")).alias("start"), "need")
-    met = starts.where("start >= 0").groupBy("id", "key", "win", "start").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
+    starts = index.postings.join(_small(anchor, n_anchor), ["term", "next"])
+    if n_pairs < n_anchor:  # windows of one word
+        single = anchor.where("next is null").drop("next")
+        starts = starts.unionByName(index.postings.join(_small(single, n_anchor), "term"))
+    starts = starts.select("id", "key", "win", (F.col("pos") - F.col("off")).alias("start"), "bit", "all").where("start >= 0")
+    # each anchor sets its bit, however often rows repeat
+    met = starts.groupBy("id", "key", "win", "start").agg(F.bit_or("bit").alias("bits"), F.first("all").alias("all")).where("bits = all")
     n_windows = windows.count()
     cand = met.join(_small(windows, n_windows), "win").groupBy("id", "key").agg(F.collect_list(F.struct("start", "terms")).alias("cand"))
     # the exact comparison reads only the texts of documents with candidates
     full = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("d_key"), F.col(text).alias("d_text"))
-    full = full.join(cand, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_key") == F.col("key"))).select("id", "key", words(F.col("d_text")).alias("w"), "cand")
-    true = checkpoint(full.select("id", "key", F.filter("cand", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["terms"])) == c["terms"]).alias("hits")).where(F.size("hits") > 0))
+    full = full.join(cand, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_key") == F.col("key"))).select("id", "key", "d_text", "cand")
+    # generated, so that words are made once a text, not once a candidate nor again for the filter
+    hits = F.transform(F.array(words(F.col("d_text"))), lambda w: F.filter("cand", lambda c: F.slice(w, c["start"] + 1, F.size(c["terms"])) == c["terms"]))
+    true = checkpoint(full.select("id", "key", F.explode_outer(hits).alias("hits")).where(F.size("hits") > 0))
     spans = F.array_sort(F.transform("hits", lambda h: F.struct(h["start"].alias("s"), (h["start"] + F.size(h["terms"])).alias("e"))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(spans, zero, lambda a, s: F.struct(F.greatest(a["end"], s["e"]).alias("end"), (a["n"] + F.greatest(s["e"] - F.greatest(a["end"], s["s"]), F.lit(0))).alias("n")))["n"]
