@@ -23,8 +23,8 @@ BLOCK = 1 << 20
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)  # a fixed random number per byte value
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Positions in the order of their first ``depth`` bytes, and the ranks by the first h bytes for each h of the doubling.
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Positions in the order of their first ``depth`` bytes, and how many bytes h the doubling came to, with the ranks by those.
 
     Past the end stands nothing, which is smaller than any byte. Equal ranks: equal prefixes (ties by position).
     """
@@ -38,7 +38,6 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
     for i in range(h):
         key = key << np.uint64(9)
         key[: max(n - i, 0)] |= data[i:].astype(np.uint64) + np.uint64(1)
-    levels = []
     key = key << bits | at
 
     def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +51,13 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
         return order, rank
 
     order, rank = ranks(key)
-    levels.append((h, rank))
     while h < depth and rank[order[-1]] < n if n else False:
         step = min(h, depth - h)
         far = np.zeros(n, np.uint64)
         far[: max(n - step, 0)] = rank[step:]
         order, rank = ranks(rank << np.uint64(2 * _BITS) | far << bits | at)
         h += step
-        levels.append((h, rank))
-    return order, levels
+    return order, h, rank
 
 
 def smaller_neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +79,7 @@ def longest_previous_factor(data: bytes, depth: int | None = None) -> np.ndarray
     depth = depth or max(len(x), 1)
     out = np.zeros(len(x), np.int64)
     if len(x):
-        order, _ = suffix_order(x, depth)
+        order, *_ = suffix_order(x, depth)
         prev, nxt = smaller_neighbours(order)
         m = [_lce(x, order, other, depth) for other in (prev, nxt)]
         out[order] = np.maximum(*m)
@@ -110,13 +107,13 @@ def repeated_starts(data: np.ndarray, length: int, first_too: bool, starts: np.n
     out = np.zeros(n, bool)
     if n < length:
         return out
-    order, levels = suffix_order(data, length)
-    if levels[-1][0] < length:  # all ranks differ already: no string of that length repeats
+    order, h, ranks = suffix_order(data, length)
+    if h < length:  # all ranks differ already: no string of that length repeats
         return out
     order = order[order + length <= n]
     if starts is not None:
         order = order[starts[order]]
-    rank = levels[-1][1][order]
+    rank = ranks[order]
     alike = rank[1:] == rank[:-1]
     # suffixes of one rank stand in order of position: every one but the first has its previous smaller position in the rank
     out[order[1:][alike]] = True
@@ -125,6 +122,28 @@ def repeated_starts(data: np.ndarray, length: int, first_too: bool, starts: np.n
     return out
 
 
+def repeated_by_distance(regions: list[Region], length: int, first_too: bool) -> list[np.ndarray]:
+    """As repeated_starts, for regions of one anchor, which may be of any size together.
+
+    Equal strings have their anchor at the same distance, so sets of strings at one distance are enough: one a region is held.
+    """
+    hits = [np.zeros(r.count, bool) for r in regions]
+    for far in range(min(r.off - r.count + 1 for r in regions), max(r.off for r in regions) + 1):
+        met: dict[bytes, tuple[int, int]] = {}
+        for j, r in enumerate(regions):
+            i = r.off - far
+            if 0 <= i < r.count:
+                w = r.text[i : i + length]
+                if w in met:
+                    hits[j][i] = True
+                    if first_too:
+                        k, at = met[w]
+                        hits[k][at] = True
+                else:
+                    met[w] = j, i
+    return hits
+
+
 def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.fromiter(map(len, texts), np.int64, len(texts))
 
@@ -180,17 +199,8 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, keep_first: bool = False,
             at += len(r.text)
 
     def large(regions: list[Region]) -> Iterator[tuple[tuple[int, int, int], int, int]]:
-        """A group that no block holds: the same answer from a set of strings, which any size can have."""
-        count: dict[bytes, int] = {}
-        for r in regions:
-            for i in range(r.count):
-                w = r.text[i : i + length]
-                count[w] = count.get(w, 0) + 1
-        seen: set[bytes] = set()
-        for r in regions:
-            ws = [r.text[i : i + length] for i in range(r.count)]
-            hit = np.array([w in seen if keep_first else count[w] > 1 for w in ws])
-            seen.update(ws)
+        """A group that no block holds."""
+        for r, hit in zip(regions, repeated_by_distance(regions, length, not keep_first), strict=True):
             if keep_first or (len(r.places) == 1 and not r.more):
                 yield from answer(r, hit)
 

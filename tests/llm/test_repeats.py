@@ -10,6 +10,7 @@ import pytest
 
 from colscope.llm import repeats, substring, suffix
 from colscope.llm.decontam import per_row
+from colscope.llm.repeats import Region
 
 
 def pairs(df):
@@ -119,3 +120,16 @@ def test_factors_cross_boundaries():
     words = [b"%d" % i for i in range(12)]
     reference = {tuple(words[i : i + 3]) for i in (0, 1, 2, 5, 6)}
     assert substring.factors(words, reference, 3) == [(0, 2), (5, 6)]
+
+
+@pytest.mark.parametrize("first_too", [True, False])
+def test_groups_beyond_a_block(first_too):
+    """Regions around one anchor: strings at equal distances from it, compared with all strings."""
+    rnd, length, regions = random.Random(5), 12, []
+    for k in range(60):
+        left, right = rnd.randrange(0, 6), rnd.randrange(0, 6)
+        text = bytes(rnd.choice(b"ab") for _ in range(left)) + b"<anchor>" + bytes(rnd.choice(b"ab") for _ in range(right + 4))
+        regions.append(Region(1, left, len(text) - length + 1, text, [(k, 0, 0)]))
+    every = [r.text[i : i + length] for r in regions for i in range(r.count)]
+    want = [every.count(w) > 1 if first_too else w in every[:i] for i, w in enumerate(every)]
+    assert np.concatenate(suffix.repeated_by_distance(regions, length, first_too)).tolist() == want and any(want)
