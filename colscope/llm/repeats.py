@@ -137,7 +137,8 @@ def repeated_anchors(docs: DataFrame, kind: Kind, shards: int) -> DataFrame:
             x, n = kind.tokens(texts_of(batch))
             runs = runs_of(x, n, kind)
             ref = np.asarray(batch.column(0), dtype=np.int64)
-            held.append((runs.hash, ref[runs.doc], runs.ordinals().astype(np.int32)))
+            # an anchor is the smallest of many hashes: mixed again, they spread over all shards
+            held.append((mix(runs.hash), ref[runs.doc], runs.ordinals().astype(np.int32)))
             size += len(runs.doc)
             if size >= _FLUSH:
                 yield flush()
@@ -217,12 +218,13 @@ def repeated_spans(docs: DataFrame, kind: Kind, region: Callable[[list[bytes], R
             for d, s, c, f, h, t in zip(runs.doc.tolist(), runs.start.tolist(), runs.count.tolist(), runs.off.tolist(), runs.hash.tolist(), region(texts, runs), strict=True):
                 seen.setdefault((h, f, t), [c]).append((ids[d], keys[d], s))
             mine, sends = [], {}
+            place = dict(zip(runs.hash.tolist(), shard_of(mix(runs.hash), shards).tolist(), strict=True))
             for (h, f, t), (c, *places) in seen.items():
                 if len(places) > 1:
                     places = sorted(set(places))
                     for p in places[1:] if keep_first else places if len(places) > 1 else ():
                         mine.append((*p, p[2] + c - 1))
-                sends.setdefault(int((h >> 32) * shards >> 32), []).append((h, f, c, t, places[0], len(places) > 1))
+                sends.setdefault(place[h], []).append((h, f, c, t, places[0], len(places) > 1))
             out_ids, blobs = [], []
             for s, entries in sends.items():
                 head = np.array([(e[0] - 2**64 if e[0] >= 2**63 else e[0], e[1], e[2], *e[4], len(e[3]), e[5]) for e in entries], np.int64)
