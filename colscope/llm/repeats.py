@@ -49,9 +49,9 @@ class Runs:
     off: np.ndarray
     hash: np.ndarray
 
-    def ordinals(self) -> np.ndarray:
-        first = np.flatnonzero(np.concatenate(([True], self.doc[1:] != self.doc[:-1]))) if len(self.doc) else np.zeros(0, np.int64)
-        return np.arange(len(self.doc)) - np.repeat(first, np.diff(np.append(first, len(self.doc))))
+    def places(self) -> np.ndarray:
+        """Where the anchors lie in their texts. A seam of sections can split a run but does not move its anchor."""
+        return self.start + self.off
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame, kind: Kind, shards: int) -> DataFrame:
-    """(_cs_ref, ords): which anchors of a document (by their order in it) occur elsewhere too. docs: as prepared()."""
+    """(_cs_ref, ords): which anchors of a document (by their place in it) occur elsewhere too. docs: as prepared()."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -138,7 +138,7 @@ def repeated_anchors(docs: DataFrame, kind: Kind, shards: int) -> DataFrame:
             runs = runs_of(x, n, kind)
             ref = np.asarray(batch.column(0), dtype=np.int64)
             # an anchor is the smallest of many hashes: mixed again, they spread over all shards
-            held.append((mix(runs.hash), ref[runs.doc], runs.ordinals().astype(np.int32)))
+            held.append((mix(runs.hash), ref[runs.doc], runs.places().astype(np.int32)))
             size += len(runs.doc)
             if size >= _FLUSH:
                 yield flush()
@@ -206,12 +206,18 @@ def repeated_spans(docs: DataFrame, kind: Kind, region: Callable[[list[bytes], R
             texts = texts_of(batch)
             x, n = kind.tokens(texts)
             runs = runs_of(x, n, kind)
-            o = runs.ordinals()
+            o = runs.places()
             starts = np.searchsorted(runs.doc, np.arange(len(texts) + 1))
             want = np.zeros(len(o), bool)
             for d, parts in enumerate(batch.column(3).to_pylist()):
-                i = np.concatenate([np.frombuffer(p, np.int32) for p in parts]) + starts[d]
-                want[i[i < starts[d + 1]]] = True
+                i = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in parts]))
+                own = o[starts[d] : starts[d + 1]]  # ascending
+                a, z = np.searchsorted(own, i), np.searchsorted(own, i, side="right")
+                if (a == z).any():
+                    raise ValueError("a repeated anchor is not in its text")
+                want[starts[d] + a] = True
+                for j in np.flatnonzero(z - a > 1):  # split by a seam
+                    want[starts[d] + a[j] : starts[d] + z[j]] = True
             runs = Runs(*(getattr(runs, f)[want] for f in ("doc", "start", "count", "off", "hash")))
             ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             seen: dict[tuple, list] = {}

@@ -103,6 +103,20 @@ def test_runs_in_small_sections(monkeypatch):
     assert a == b
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffixes_across_sections(nasty, check, monkeypatch, keep_first):
+    """Runs are split at other places of a text in each of the two passes over it."""
+    whole = suffix.byte_tokens
+
+    def tokens(texts):
+        repeats._SECTION = 257 + 100 * (len(texts) % 5)  # in the worker
+        return whole(texts)
+
+    monkeypatch.setattr(suffix, "byte_tokens", tokens)
+    got = per_row(nasty, suffix.dedup_suffixes(nasty, 50, keep_first=keep_first), "doc_id", "text")
+    check(got, lists(brute_bytes(pairs(nasty), 50, keep_first)), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def test_longest_previous_factor():
     rnd = random.Random(5)
     for _ in range(40):
