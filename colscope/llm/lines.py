@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines. DataFrame operations only.
 
 A rolling hash over the hashes of the last lines decides where a chunk ends, so an inserted line shifts boundaries only near
-itself. Chunks of two lines or more that stand elsewhere too are found by hash and then compared by their bytes; the
-first copy stays.
+itself, and every chunk has two lines or more. Chunks that stand elsewhere too are found by hash and then compared by their
+bytes; the first copy stays. With ``blocks``, so are neighbouring lines two by two: what a chunk shares with a repeated passage
+only in part goes too, however the passage is glued to its neighbours.
 """
 
 from __future__ import annotations
@@ -16,21 +17,31 @@ _NULL_FIRST = -(2**63)
 BROADCAST_HASHES = 2_000_000  # up to so many 8-byte hashes of repeated chunks are broadcast; more are joined by shuffle
 
 
-def line_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2, every: int = 4, longest: int = 64) -> DataFrame:
+def line_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2, every: int = 4, longest: int = 64, blocks: bool = False) -> DataFrame:
     """(_cs_id, _cs_key, start, len, chunk) of every chunk of two lines or more; lines count from 0.
 
-    A chunk ends after line i if the hash of the hashes of lines i-window+1 .. i is 0 modulo ``every``, after ``longest``
-    lines, and at the end of the text. It is all done inside the row: no shuffle, no explosion into lines.
+    A chunk ends after line i if the hash of the hashes of lines i-window+1 .. i is 0 modulo ``every`` and that of the line before
+    is not, unless a single line would be left at either end of the text; after ``longest`` lines; and at the end of the text.
+    With ``blocks``, each line that is not blank and the next such line, with the blank ones between, are a chunk as well.
+    It is all done inside the row: no shuffle, no explosion into lines.
     """
     d = docs.where(F.col(text).contains("\n")).select(F.col(id_col).alias("_cs_id"), F.xxhash64(text).alias("_cs_key"), F.split(text, "\n", -1).alias("l"))
     d = d.withColumn("h", F.transform("l", lambda x: F.xxhash64(x)))
-    back = [lambda i, k=k: F.coalesce(F.get("h", i - k), F.lit(0).cast("long")) for k in range(window)]
     last = F.size("l") - 1
-    cut = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.xxhash64(*(b(i) for b in back)), F.lit(every)) == 0))
+    at = lambda i, k: F.coalesce(F.get("h", i - k), F.lit(0).cast("long"))
+    ends = lambda i: F.pmod(F.xxhash64(*(at(i, k) for k in range(window))), F.lit(every)) == 0
+    cut = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | ((i > 0) & (i < last - 1) & ends(i) & ~ends(i - 1)))
     d = d.withColumn("cut", cut)
     runs = F.transform("cut", lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get("cut", k - 1) + 1).alias("s"), e.alias("e")))
-    parts = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["s"], r["e"], F.lit(longest)), lambda s: F.struct(s.alias("start"), (F.least(s + longest - 1, r["e"]) - s + 1).alias("len")))))
+    # a single line left over takes one from the piece before it
+    begin = lambda s, r: F.when((s == r["e"]) & (s > r["s"]), s - 1).otherwise(s)
+    end = lambda s, r: F.when(s + longest == r["e"], s + longest - 2).otherwise(F.least(s + longest - 1, r["e"]))
+    parts = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["s"], r["e"], F.lit(longest)), lambda s: F.struct(begin(s, r).alias("start"), (end(s, r) - begin(s, r) + 1).alias("len")))))
     d = d.withColumn("p", F.filter(parts, lambda p: p["len"] >= 2))
+    if blocks:
+        d = d.withColumn("full", F.filter(F.sequence(F.lit(0), last), lambda i: F.trim(F.translate(F.get("l", i), "\t\r", "")) != ""))
+        two = F.transform("full", lambda s, k: F.struct(s.alias("start"), (F.get("full", k + 1) - s + 1).alias("len")))
+        d = d.withColumn("p", F.array_union("p", F.filter(two, lambda p: p["len"].isNotNull())))
     return d.select("_cs_id", "_cs_key", F.explode(F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), F.array_join(F.slice("l", p["start"] + 1, p["len"]), "\n").alias("chunk")))).alias("c")).select("_cs_id", "_cs_key", "c.*")
 
 
@@ -73,6 +84,6 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines and bytes before and after, and the digest of what is left."""
     n = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), 0).otherwise(F.size(F.split(c, "\n", -1))).cast("long")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", n("text").alias("n_lines"))
-    out = dedup_lines(docs, drop_emptied=False)
+    out = dedup_lines(docs, drop_emptied=False, blocks=True)
     left = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - n("text")).alias("n_removed"), F.octet_length(left).cast("long").alias("kept_bytes"), F.sha2(left.cast("binary"), 256).alias("kept_sha256"))

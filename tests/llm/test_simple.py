@@ -274,5 +274,33 @@ def test_line_boundaries_resist_shifts(spark):
     assert left[1] == "\n".join(text) and left[2].count("\n") < 40 and "one more" in left[2]
 
 
+def test_repeated_blocks_of_lines(spark, tmp_path):
+    """op5 against blocks found without the chunks: passages of 2 to 12 lines between other lines, and whole copies."""
+    rnd, n = random.Random(3), iter(range(10**6))
+    fresh = lambda k: [f"line {next(n)}" if rnd.random() < 0.85 else "" for _ in range(k)]
+    known = [[f"said {next(n)}" for _ in range(rnd.randrange(2, 13))] for _ in range(30)]
+    texts = [sum((fresh(rnd.randrange(4)) + rnd.choice(known) for _ in range(4)), []) for _ in range(150)]
+    texts += [list(t) for t in texts[:40]] + [["a", "", "", "b", ""], ["a", "", "", "b", ""], ["x", "x", "x"]]
+    docs = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, whole, want = set(), set(), {}
+    for i, t in docs:
+        row, gone = t.split("\n"), set()
+        full = [k for k, x in enumerate(row) if x.strip()]
+        for a, b in zip(full, full[1:], strict=False):
+            w = tuple(row[a : b + 1])
+            gone |= set(range(a, b + 1)) if w in seen else set()
+            seen.add(w)
+        gone = set(range(len(row))) if t in whole else gone
+        whole.add(t)
+        want[i] = {k for k in gone if row[k]}, full
+    for r in lines.op5_lines(spark, str(tmp_path)).collect():
+        row, (gone, full) = dict(docs)[r.doc_id].split("\n"), want[r.doc_id]
+        kept = [row[k] for k in full if k not in gone]
+        assert r.kept_bytes - sum(map(len, kept)) <= len(row) and r.n_removed >= len(gone), (r, kept)
+        assert r.kept_bytes >= sum(map(len, kept)), (r, kept)
+        assert kept or r.kept_bytes == 0 or r.doc_id < 150, r
+
+
 def test_line_dedup_of_nothing(none):
     assert lines.dedup_lines(none).count() == 0
