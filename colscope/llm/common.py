@@ -121,6 +121,13 @@ class LocalCopies:
             self.dir = None
 
 
+def long_id(df: DataFrame, id_col: str) -> Column:
+    """An integer id in 64 bits, null as the smallest of them. TypeError for ids of another type."""
+    if (kind := df.schema[id_col].dataType.typeName()) not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"column {id_col} must hold integers, not {kind}")
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. lower() equals that for pure ASCII text and has a fast path there."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))
