@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpoint, exchange, mix, shard_of, shards_for, slices, text_bytes, texts_of
+from .common import NULL_ID, checkpoint, exchange, long_id, mix, shard_of, shards_for, slices, text_bytes, texts_of
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _B_INV = np.uint64(pow(int(_B), -1, 2**64))
 _POS = 24  # bits for a position in a section
-_SECTION = 1 << 22
+_SECTION = 1 << 18  # tokens hashed at a time: a bound on memory, the result does not depend on it
 _FLUSH = 400_000
-BROADCAST_DOCS = 2_000_000  # up to so many 8-byte document keys are broadcast; more are joined by shuffle
+BROADCAST_DOCS = 500_000  # up to so many document keys, of 8 or 16 bytes each, are broadcast; more are joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -98,9 +98,14 @@ def _rows_by(key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
         yield (k[a], *(v[order[a:b]] for v in values))
 
 
+def _by_document(found: DataFrame, rows: Callable[[list[bytes]], pa.Table], schema: str) -> DataFrame:
+    """What all shards have found, once more dealt out: (shard int, blob binary) by shards of the documents, so that a document gets one row."""
+    return found.groupBy("shard").applyInArrow(lambda t: rows(t.column("blob").to_pylist()), schema)
+
+
 def prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """_cs_id (null as the smallest number), _cs_key (hash of the text), _cs_ref (both in 64 bits), text."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_cs_id"), F.xxhash64(text).alias("_cs_key"), F.col(text).alias("_cs_text"))
+    d = docs.select(long_id(docs, id_col).alias("_cs_id"), F.xxhash64(text).alias("_cs_key"), F.col(text).alias("_cs_text"))
     return d.select("_cs_id", "_cs_key", F.xxhash64("_cs_id", "_cs_key").alias("_cs_ref"), "_cs_text")
 
 
@@ -162,10 +167,18 @@ def repeated_anchors(docs: DataFrame, kind: Kind, shards: int) -> DataFrame:
             twice = np.add.reduceat(_differs(at, ref, o), at) > 0
             some = np.repeat(twice, np.diff(np.append(at, len(h))))
             ref, o = ref[some], o[some]
-        out = [(int(r), q.tobytes()) for r, q in _rows_by(ref, o)]
+        out = [(int(s), r.tobytes() + q.tobytes()) for s, r, q in _rows_by((ref.view(np.uint64) % np.uint64(shards)).astype(np.int64), ref, o)]
+        return pa.table({"shard": pa.array([s for s, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+    def merge(blobs: list[bytes]) -> pa.Table:
+        n = [len(b) // 12 for b in blobs]
+        ref = np.concatenate([np.frombuffer(b, np.int64, k) for b, k in zip(blobs, n, strict=True)])
+        o = np.concatenate([np.frombuffer(b, np.int32, k, 8 * k) for b, k in zip(blobs, n, strict=True)])
+        out = [(int(r), np.unique(q).tobytes()) for r, q in _rows_by(ref, o)]
         return pa.table({"_cs_ref": pa.array([r for r, _ in out], pa.int64()), "ords": pa.array([q for _, q in out], pa.binary())})
 
-    return exchange(docs.select("_cs_ref", "_cs_text"), find, meet, "_cs_ref long, ords binary")
+    met = exchange(docs.select("_cs_ref", "_cs_text"), find, meet, "shard int, blob binary")
+    return _by_document(met, merge, "_cs_ref long, ords binary")
 
 
 def _differs(at: np.ndarray, ref: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -196,10 +209,10 @@ def repeated_spans(docs: DataFrame, kind: Kind, region: Callable[[list[bytes], R
     """(candidates, spans): prepared rows that may lose something; and (_cs_id, _cs_key, spans: int32 pairs of window starts)."""
     shards = shards_for(text_bytes(docs, "_cs_text"), shard_bytes)
     marks = checkpoint(repeated_anchors(docs, kind, shards))
-    refs = marks.select("_cs_ref").distinct()
+    refs = marks.select("_cs_ref")
     few = refs.count() <= BROADCAST_DOCS
     some = docs.join(F.broadcast(refs) if few else refs, "_cs_ref", "left_semi")
-    work = some.join(marks.groupBy("_cs_ref").agg(F.collect_list("ords").alias("ords")), "_cs_ref").select("_cs_id", "_cs_text", "_cs_key", "ords")
+    work = some.join(marks, "_cs_ref").select("_cs_id", "_cs_text", "_cs_key", "ords")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -209,8 +222,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, region: Callable[[list[bytes], R
             o = runs.places()
             starts = np.searchsorted(runs.doc, np.arange(len(texts) + 1))
             want = np.zeros(len(o), bool)
-            for d, parts in enumerate(batch.column(3).to_pylist()):
-                i = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in parts]))
+            for d, ords in enumerate(batch.column(3).to_pylist()):
+                i = np.frombuffer(ords, np.int32)
                 own = o[starts[d] : starts[d + 1]]  # ascending
                 a, z = np.searchsorted(own, i), np.searchsorted(own, i, side="right")
                 if (a == z).any():
@@ -264,41 +277,40 @@ def repeated_spans(docs: DataFrame, kind: Kind, region: Callable[[list[bytes], R
                         r.places = sorted(set(r.places))
             spans = [(*p, p[2] + a, p[2] + z) for p, a, z in solve([sorted(g.values(), key=lambda r: r.places[0]) for g in groups.values()])]
             found = np.array(spans, np.int64).reshape(-1, 5)[:, [0, 1, 3, 4]]
-        ids, keys, out = [], [], []
-        order = np.lexsort((found[:, 1], found[:, 0]))
-        found = found[order]
+        out = [(int(s), r.tobytes()) for s, r in _rows_by(found[:, 1] % shards, found)]
+        return pa.table({"shard": pa.array([s for s, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+    def merge(blobs: list[bytes]) -> pa.Table:
+        found = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in blobs])
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
         edge = np.flatnonzero(np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(1)))) if len(found) else np.zeros(0, np.int64)
-        for a, b in zip(edge, np.append(edge, len(found))[1:], strict=True):
-            ids.append(int(found[a, 0]))
-            keys.append(int(found[a, 1]))
-            out.append(found[a:b, 2:].astype(np.int32).tobytes())
-        return pa.table({"_cs_id": pa.array(ids, pa.int64()), "_cs_key": pa.array(keys, pa.int64()), "spans": pa.array(out, pa.binary())})
+        cuts = list(zip(edge.tolist(), np.append(edge, len(found))[1:].tolist(), strict=True))
+        return pa.table({"_cs_id": pa.array(found[edge, 0]), "_cs_key": pa.array(found[edge, 1]), "spans": pa.array([found[a:b, 2:].astype(np.int32).tobytes() for a, b in cuts], pa.binary())})
 
-    spans = exchange(work, cut, block, "_cs_id long, _cs_key long, spans binary")
+    spans = _by_document(exchange(work, cut, block, "shard int, blob binary"), merge, "_cs_id long, _cs_key long, spans binary")
     return some.select("_cs_id", "_cs_key", "_cs_text"), spans
 
 
-def covered(parts: list[bytes], length: int, window: int) -> np.ndarray:
+def covered(spans: bytes, length: int, window: int) -> np.ndarray:
     """Which of ``length`` tokens lie in a window that starts in one of the spans."""
     edge = np.zeros(length + 1, np.int32)
-    for p in parts:
-        s = np.frombuffer(p, np.int32).reshape(-1, 2)
-        np.add.at(edge, s[:, 0], 1)
-        np.add.at(edge, s[:, 1] + window, -1)
+    s = np.frombuffer(spans, np.int32).reshape(-1, 2)
+    np.add.at(edge, s[:, 0], 1)
+    np.add.at(edge, s[:, 1] + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def finish(docs: DataFrame, candidates: DataFrame, spans: DataFrame, base: DataFrame, rewrite: Callable[[bytes, list[bytes]], tuple], out: str, id_col: str) -> DataFrame:
+def finish(docs: DataFrame, candidates: DataFrame, spans: DataFrame, base: DataFrame, rewrite: Callable[[bytes, bytes], tuple], out: str, id_col: str) -> DataFrame:
     """base: (_cs_id, _cs_key, columns of ``out``) of every row as if it lost nothing; rows with spans get rewrite()'s."""
     names = [c.split()[0] for c in out.split(", ")]
-    lost = checkpoint(spans.groupBy("_cs_id", "_cs_key").agg(F.collect_list("spans").alias("spans")))
+    lost = checkpoint(spans)
     few = lost.count() <= BROADCAST_DOCS
     keys = lost.select("_cs_id", "_cs_key")
     hit = candidates.join(F.broadcast(keys) if few else keys, ["_cs_id", "_cs_key"], "left_semi").join(lost, ["_cs_id", "_cs_key"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            rows = [rewrite(t, parts) for t, parts in zip(texts_of(batch, 2), batch.column(3).to_pylist(), strict=True)]
+            rows = [rewrite(t, own) for t, own in zip(texts_of(batch, 2), batch.column(3).to_pylist(), strict=True)]
             cols = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["_cs_id", "_cs_key", *(f"_cs_{n}" for n in names)])
 

@@ -2,9 +2,10 @@
 
 Reference blocks are the anchors' hash ranges (see repeats): a block holds the earliest copy of every region that is routed
 to it, indexed by windows of words. Each region, in corpus order, is factored against the reference that came before it:
-from each position the longest factor is taken and followed as long as it matches; where it ends, the windows that straddle
-its boundary are looked up too, so no duplicate hides between two factors. Factoring every document against every
-block would take time in the square of the corpus; the anchors give the blocks in which a factor of a full window can lie at all.
+at each place the earliest match is taken and followed in the reference as far as it goes; the parse goes on with the window
+that straddles the factor's end, so no duplicate hides between two factors. Factors of a window or more become spans. Factoring
+every document against every block would take time in the square of the corpus; the anchors give the blocks in which a factor of
+a full window can lie at all.
 """
 
 from __future__ import annotations
@@ -33,27 +34,41 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, np.uint64), n
 
 
-def factors(words: list[bytes], reference: set[tuple], window: int) -> list[tuple[int, int]]:
-    """Maximal runs (first, last) of window starts that the reference holds: the long factors of the greedy parse."""
-    out: list[tuple[int, int]] = []
-    at, last = 0, len(words) - window
-    while at <= last:
-        if tuple(words[at : at + window]) not in reference:
-            at += 1
-            continue
-        first = at
-        while at < last and tuple(words[at + 1 : at + 1 + window]) in reference:  # grow the factor, boundary included
-            at += 1
-        out.append((first, at))
-        at += 1
-    return out
+class Reference:
+    """A block's reference text: regions of words, and where each of their windows first stands (region, place)."""
+
+    def __init__(self, window: int):
+        self.window, self.texts, self.places = window, [], {}
+
+    def add(self, words: list[bytes]) -> None:
+        for i in range(len(words) - self.window + 1):
+            self.places.setdefault(tuple(words[i : i + self.window]), (len(self.texts), i))
+        self.texts.append(words)
+
+    def factors(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """The greedy parse of ``words`` relative to the reference: (start, length, region, place) of its factors of a window or more.
+
+        At each place the reference is looked up and the match followed in it as far as it goes. A factor's last window may go on
+        otherwise elsewhere in the reference, so the parse goes on with the window after it, which straddles the boundary.
+        """
+        at, last = 0, len(words) - self.window
+        while at <= last:
+            if (found := self.places.get(tuple(words[at : at + self.window]))) is None:
+                at += 1
+                continue
+            text, place = self.texts[found[0]], found[1]
+            n, most = self.window, min(len(words) - at, len(text) - place)
+            while n < most and words[at + n] == text[place + n]:
+                n += 1
+            yield at, n, *found
+            at += n - self.window + 1
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text: str = "text", shard_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
     """Per distinct (id, text): id, _cs_key, n_words, n_removed, kept_sha256 (and kept_text on request).
 
     A word is removed if a run of ``window`` words that covers it also starts earlier: in a smaller id (null first; then by hash of
-    the text), or before in the same text. Runs are judged on the input. Null, empty and short texts lose nothing.
+    the text), or before in the same text. Runs are judged on the input. Ids must be integers; an empty table gives no rows; texts are taken whole. Null, empty and short texts lose nothing.
     """
     kind = Kind(window, max(1, window * 2 // 5), word_tokens)
 
@@ -67,13 +82,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 
     def solve(groups: list[list[Region]]) -> Iterator[tuple[tuple[int, int, int], int, int]]:
         for regions in groups:
-            reference: set[tuple] = set()
+            reference = Reference(window)
             for r in regions:  # in the order of their first places
                 if len(regions) > 1:
                     words = r.text.split(b" ")
-                    for a, z in factors(words, reference, window) if reference else ():
-                        yield r.places[0], a, z
-                    reference.update(tuple(words[i : i + window]) for i in range(r.count))
+                    for start, n, *_ in reference.factors(words):
+                        yield r.places[0], start, start + n - window
+                    reference.add(words)
                 for p in r.places[1:]:
                     yield p, 0, r.count - 1
 
@@ -89,9 +104,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             rows = [result(w, len(w)) for w in map(bytes.split, texts_of(batch, 2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, zip(*rows, strict=True))], ["_cs_id", "_cs_key", *(c.split()[0] for c in out.split(", "))])
 
-    def rewrite(raw: bytes, parts: list[bytes]) -> tuple:
+    def rewrite(raw: bytes, spans: bytes) -> tuple:
         words = raw.split()
-        gone = covered(parts, len(words), window)
+        gone = covered(spans, len(words), window)
         return result([w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words))
 
     some, spans = repeated_spans(d, kind, region, solve, True, shard_bytes)

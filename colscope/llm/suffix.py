@@ -1,13 +1,15 @@
 """Suffix-array dedup over bytes with longest-previous-factor arrays.
 
 Blocks of the anchors' hash ranges (see repeats) hold every region in which a repeated string of the wanted length can lie. Each
-block is sorted into suffix order by prefix doubling; in that order the previous and the next smaller position of a
-suffix give its longest match with an earlier one (LPF), and neighbours in the order its longest match at all.
+block is sorted into suffix order by prefix doubling; in that order the previous and the next smaller position of a suffix give
+its longest match with an earlier one (LPF), and the previous and next larger position its longest match with a later one. That a
+match has the wanted length shows in the ranks of the doubling. To keep the first copies, only earlier matches count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from .decontam import per_row
 from .repeats import Kind, Region, Runs, covered, finish, prepared, repeated_spans
 
 _BITS = 21  # a block's positions and ranks fit in 21 bits each, so that one 64-bit number holds a pair of ranks and a position
-BLOCK = 1 << 20
+BLOCK, LARGE = 1 << 20, 1 << _BITS
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)  # a fixed random number per byte value
 
 
@@ -62,15 +64,20 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, int, np.ndar
 
 def smaller_neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place in suffix order, the nearest smaller position before and after it; -1 where there is none."""
-    prev, nxt = np.full(len(order), -1, np.int64), np.full(len(order), -1, np.int64)
-    stack: list[int] = []
-    pos = order.tolist()
-    for i, p in enumerate(pos):
-        while stack and pos[stack[-1]] > p:
-            nxt[stack.pop()] = p
-        prev[i] = pos[stack[-1]] if stack else -1
-        stack.append(i)
-    return prev, nxt
+    before = _previous_smaller(order)
+    after = _previous_smaller(order[::-1])[::-1]
+    return before, after
+
+
+def _previous_smaller(order: np.ndarray) -> np.ndarray:
+    """All between a place and the one it points to are larger than it; what points to a larger one jumps on to where that one points."""
+    value = np.concatenate((np.full(1, -1, np.int64), order))  # place 0 ends every search
+    to = np.maximum(np.arange(len(value)) - 1, 0)
+    live = np.flatnonzero(value[to] > value)
+    while len(live):
+        to[live] = to[to[live]]
+        live = live[value[to[live]] > value[live]]
+    return value[to[1:]]
 
 
 def longest_previous_factor(data: bytes, depth: int | None = None) -> np.ndarray:
@@ -113,37 +120,16 @@ def repeated_starts(data: np.ndarray, length: int, first_too: bool, starts: np.n
     order = order[order + length <= n]
     if starts is not None:
         order = order[starts[order]]
-    rank = ranks[order]
-    alike = rank[1:] == rank[:-1]
-    # suffixes of one rank stand in order of position: every one but the first has its previous smaller position in the rank
-    out[order[1:][alike]] = True
-    if first_too:
-        out[order[:-1][alike]] = True
+    # suffixes whose first ``length`` bytes are equal have one rank: LPF >= length if the previous or the next smaller position has it
+    others = [*smaller_neighbours(order)]
+    if first_too:  # the same for matches with later positions
+        others += [n - 1 - x for x in smaller_neighbours(n - 1 - order)]
+    for other in others:
+        known = (other >= 0) & (other < n)
+        out[order[known]] |= ranks[order[known]] == ranks[other[known]]
     return out
 
 
-def repeated_by_distance(regions: list[Region], length: int, first_too: bool) -> list[np.ndarray]:
-    """As repeated_starts, for regions of one anchor, which may be of any size together.
-
-    Equal strings have their anchor at the same distance, so sets of strings at one distance are enough: one a region is held.
-    """
-    hits = [np.zeros(r.count, bool) for r in regions]
-    for far in range(min(r.off - r.count + 1 for r in regions), max(r.off for r in regions) + 1):
-        met: dict[bytes, tuple[int, int]] = {}
-        for j, r in enumerate(regions):
-            i = r.off - far
-            if 0 <= i < r.count:
-                w = r.text[i : i + length]
-                if w in met:
-                    hits[j][i] = True
-                    if first_too:
-                        k, at = met[w]
-                        hits[k][at] = True
-                else:
-                    met[w] = j, i
-    return hits
-
-
 def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.fromiter(map(len, texts), np.int64, len(texts))
 
@@ -153,7 +139,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, keep_first: bool = False,
 
     A byte is removed if a string of ``length`` UTF-8 bytes that covers it also starts elsewhere, in the same text too; with
     ``keep_first`` only if it also starts earlier: in a smaller id (null first; then by hash of the text) or before in the
-    same text. Strings never cross texts and are judged on the input. Null, empty and short texts lose nothing.
+    same text. Strings never cross texts and are judged on the input. Ids must be integers; an empty table gives no rows. Null, empty and short texts lose nothing.
     """
     kind = Kind(length, max(1, length // 2), byte_tokens)
 
@@ -174,8 +160,9 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, keep_first: bool = False,
             if size and size + own > BLOCK:
                 yield from block(held)
                 held, size = [], 0
-            if own >= 1 << _BITS:
-                yield from large(g)
+            if own >= LARGE:
+                for part in parts(g, own):
+                    yield from block(part)
                 continue
             held += g
             size += own
@@ -198,17 +185,22 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, keep_first: bool = False,
                 yield from answer(r, hit[at : at + r.count])
             at += len(r.text)
 
-    def large(regions: list[Region]) -> Iterator[tuple[tuple[int, int, int], int, int]]:
-        """A group that no block holds."""
-        for r, hit in zip(regions, repeated_by_distance(regions, length, not keep_first), strict=True):
-            if keep_first or (len(r.places) == 1 and not r.more):
-                yield from answer(r, hit)
+    def parts(regions: list[Region], size: int) -> Iterator[list[Region]]:
+        """A group that no block holds, in pieces: equal strings have their anchor at one distance, and one checksum."""
+        for far in range(min(r.off - r.count + 1 for r in regions), max(r.off for r in regions) + 1):
+            own = [(r, r.off - far) for r in regions if 0 <= r.off - far < r.count]
+            n = -(-len(own) * length // BLOCK)
+            pieces: list[list[Region]] = [[] for _ in range(n)]
+            for r, i in own:
+                w = r.text[i : i + length]
+                pieces[zlib.crc32(w) % n].append(Region(r.hash, r.off - i, 1, w, [(p[0], p[1], p[2] + i) for p in r.places], r.more))
+            yield from filter(None, pieces)
 
     d = prepared(docs, id_col, text)
     out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes
 
-    def rewrite(raw: bytes, parts: list[bytes]) -> tuple:
-        gone = covered(parts, len(raw), length)
+    def rewrite(raw: bytes, spans_: bytes) -> tuple:
+        gone = covered(spans_, len(raw), length)
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
         return (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_bytes))

@@ -10,7 +10,6 @@ import pytest
 
 from colscope.llm import repeats, substring, suffix
 from colscope.llm.decontam import per_row
-from colscope.llm.repeats import Region
 
 
 def pairs(df):
@@ -131,19 +130,28 @@ def test_longest_previous_factor():
 
 
 def test_factors_cross_boundaries():
-    words = [b"%d" % i for i in range(12)]
-    reference = {tuple(words[i : i + 3]) for i in (0, 1, 2, 5, 6)}
-    assert substring.factors(words, reference, 3) == [(0, 2), (5, 6)]
-
-
-@pytest.mark.parametrize("first_too", [True, False])
-def test_groups_beyond_a_block(first_too):
-    """Regions around one anchor: strings at equal distances from it, compared with all strings."""
-    rnd, length, regions = random.Random(5), 12, []
-    for k in range(60):
-        left, right = rnd.randrange(0, 6), rnd.randrange(0, 6)
-        text = bytes(rnd.choice(b"ab") for _ in range(left)) + b"<anchor>" + bytes(rnd.choice(b"ab") for _ in range(right + 4))
-        regions.append(Region(1, left, len(text) - length + 1, text, [(k, 0, 0)]))
-    every = [r.text[i : i + length] for r in regions for i in range(r.count)]
-    want = [every.count(w) > 1 if first_too else w in every[:i] for i, w in enumerate(every)]
-    assert np.concatenate(suffix.repeated_by_distance(regions, length, first_too)).tolist() == want and any(want)
+    """Factors follow the reference as far as it goes; their windows are all those that the reference holds."""
+    rnd = random.Random(9)
+    reference = substring.Reference(3)
+    reference.add([b"%d" % i for i in range(6)])
+    reference.add([b"%d" % i for i in (3, 4, 5, 9, 10, 11)])
+    assert list(reference.factors([b"%d" % i for i in (7, 1, 2, 3, 4, 5, 9, 10, 8)])) == [(1, 5, 0, 1), (4, 4, 1, 1)]
+    for _ in range(200):
+        reference, texts = substring.Reference(3), [[rnd.choice((b"a", b"b")) for _ in range(rnd.randrange(3, 9))] for _ in range(3)]
+        for t in texts:
+            reference.add(t)
+        held = {tuple(t[i : i + 3]) for t in texts for i in range(len(t) - 2)}
+        words = [rnd.choice((b"a", b"b", b"c")) for _ in range(40)]
+        found = [i for at, n, *_ in reference.factors(words) for i in range(at, at + n - 2)]
+        assert found == [i for i in range(38) if tuple(words[i : i + 3]) in held]
+        for at, n, r, place in reference.factors(words):
+            assert words[at : at + n] == texts[r][place : place + n]
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_groups_beyond_a_block(nasty, check, monkeypatch, keep_first):
+    """Groups of one anchor that no block holds go in pieces of equal checksums."""
+    monkeypatch.setattr(suffix, "LARGE", 1)
+    monkeypatch.setattr(suffix, "BLOCK", 300)
+    got = per_row(nasty, suffix.dedup_suffixes(nasty, 50, keep_first=keep_first), "doc_id", "text")
+    check(got, lists(brute_bytes(pairs(nasty), 50, keep_first)), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
