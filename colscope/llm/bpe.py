@@ -24,7 +24,8 @@ from .common import read, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
 _WIDE = 512  # longer pieces go through a heap: the same merges in the same order, in n log n rather than n * n
-_CACHE = 1_000_000  # chunks, about 300 bytes each
+_CACHE_BYTES = 192 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
+_CACHED = 64  # longer chunks (texts without spaces, say) are not cached
 _UNSAFE = re.compile(r" \s|\s |^ | $")
 
 
@@ -66,11 +67,31 @@ class PairTable:
         return out
 
 
+class _Either(dict):
+    """The cache, and what this batch has new."""
+
+    def __init__(self, cache: dict, new: dict):
+        super().__init__(new)
+        self.cache = cache
+
+    def __missing__(self, key: str) -> tuple[str, int, bytes]:
+        return self.cache[key]
+
+
+def _public_pattern() -> str | None:
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:  # any pattern is then treated as unknown
+        return None
+    return public_tokenizers.PATTERN
+
+
 class ByteBPE:
     """ranks: token bytes -> id; the id is also the merge rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
+        self.known = pattern == _public_pattern()
         self.ranks = ranks
         self.byte = np.full(256, -1, np.int32)
         for i in range(256):
@@ -89,6 +110,7 @@ class ByteBPE:
         by_id = sorted(ranks, key=ranks.get)
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -177,8 +199,11 @@ class ByteBPE:
     def _chunks(self, text: str) -> list[str]:
         """Cuts before single spaces between two characters that are no white space: no piece of the pattern spans such a place.
 
-        The pattern's pieces take a space at their start at most, so each chunk is cut into pieces on its own.
+        The public pattern's pieces take a space at their start at most, so each chunk is cut into pieces on its own. With any
+        other pattern a text is one chunk.
         """
+        if not self.known:
+            return [text]
         parts = text.split(" ")
         if len(parts) == 1:
             return parts
@@ -195,26 +220,32 @@ class ByteBPE:
         return out
 
     def encode_texts(self, texts: list[str]) -> tuple[list[list[str]], dict]:
-        """The chunks of each text, and a cache chunk -> (ids as text, how many, ids as int32 bytes)."""
+        """The chunks of each text, and chunk -> (ids as text, how many, ids as int32 bytes) for all of them."""
         found = [self._chunks(t) for t in texts]
-        if len(self.cache) > _CACHE:
+        if self.held > _CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         new: set[str] = set()
         for own in found:
             new.update(own)
         new.difference_update(self.cache)
-        # ASCII letters after one space at most are one piece of the pattern; all else is cut by it
-        one = [c for c in new if c.isascii() and (c[1:] if c[:1] == " " else c).isalpha()]
+        # ASCII letters after one space at most are one piece of the public pattern; all else is cut by it
+        one = [c for c in new if c.isascii() and (c[1:] if c[:1] == " " else c).isalpha()] if self.known else []
         rest = list(new.difference(one))
         cut = [self.pattern.findall(c) for c in rest]
         pieces = list({p for x in cut for p in x}.difference(one))
         ids_of = dict(zip(one, self.encode_pieces(one), strict=True))
         ids_of.update(zip(pieces, self.encode_pieces(pieces), strict=True))
         names, cache = self.names, self.cache
+        out: dict[str, tuple[str, int, bytes]] = {}
         for c, own in chain(zip(one, zip(one, strict=True), strict=True), zip(rest, cut, strict=True)):
             ids = b"".join([ids_of[p] for p in own]) if len(own) != 1 else ids_of[own[0]]
-            cache[c] = (",".join([names[i] for i in memoryview(ids).cast("i")]), len(ids) >> 2, ids)
-        return found, self.cache
+            out[c] = (",".join([names[i] for i in memoryview(ids).cast("i")]), len(ids) >> 2, ids)
+        for c, got in out.items():
+            if len(c) <= _CACHED:
+                cache[c] = got
+                self.held += 320 + 4 * len(c)
+        return found, _Either(cache, out)
 
     def encode(self, text: str) -> list[int]:
         (pieces,), cache = self.encode_texts([text])

@@ -3,7 +3,8 @@
 Each rule looks at a few counts of a text and votes good, votes bad or abstains. Expectation-maximisation over the counts of
 vote patterns estimates how often each rule votes which way on good and on bad texts; a text's posterior probability of
 being good decides. Patterns number 3^rules at most, whatever the corpus size, so the fit itself is a driver-side loop
-over a bounded table, while every document counts in it.
+over a bounded table. All texts of ten words or more count in it; shorter ones fail whatever it says (see base_failed), and
+their few votes would only blur the estimates for the texts that it judges.
 """
 
 from __future__ import annotations

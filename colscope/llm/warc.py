@@ -94,52 +94,98 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Feeds a growing window, so that what follows the member isn't copied for each member."""
-    size = 1 << 16
-    z, parts, pos = zlib.decompressobj(31), [], at
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, failure) of the gzip member at ``at``; after a failure, what could be read before it and where it starts.
+
+    Feeds a growing window, so that what follows the member isn't copied for each member.
+    """
+    size, z, parts, pos = 1 << 16, zlib.decompressobj(31), [], at
     try:
         while not z.eof and pos < len(data):
             parts.append(z.decompress(data[pos : pos + size]))
             pos += size
             size = min(size * 2, 1 << 24)
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
+        # once more in small steps: what stands before the damage
+        z, parts, pos = zlib.decompressobj(31), [], at
+        try:
+            while pos < len(data):
+                parts.append(z.decompress(data[pos : pos + 512]))
+                pos += 512
+        except zlib.error:
+            return b"".join(parts), at, f"gzip: {e}"
     if not z.eof:
-        raise ValueError("gzip: member is cut short")
-    return b"".join(parts), min(pos, len(data)) - len(z.unused_data)
+        return b"".join(parts), at, "gzip: member is cut short"
+    return b"".join(parts), min(pos, len(data)) - len(z.unused_data), ""
 
 
-def salvage(data: bytes) -> Salvage:
-    """All records of an archive (gzip members or plain) whose checks hold, and the gaps between them."""
-    out, at, bad, why = Salvage(), 0, -1, ""
-    zipped = not _VERSION.search(data, 0, 4096) and _MAGIC in data
+def _plain(data: bytes, checked: bool) -> Iterator[tuple[int, int, dict[str, str], bytes] | tuple[int, int, str]]:
+    """Records (start, end, fields, block) of uncompressed bytes, and gaps (start, end, reason) between them.
+
+    checked: only records whose payload digest was compared count, as the bytes themselves are in doubt.
+    """
+    at, bad, why = 0, -1, ""
     while at < len(data):
         try:
-            if zipped:
-                if data[at : at + 3] != _MAGIC:
-                    raise ValueError("no gzip member")
-                body, end = _member(data, at)
-                found, k = [], 0
-                while k < len(body):
-                    fields, block, k = _parse(body, k)
-                    found.append(Record(at, fields, block))
-            else:
-                fields, block, end = _parse(data, at)
-                found = [Record(at, fields, block)]
+            fields, block, end = _parse(data, at)
+            if checked and not (fields.get("warc-type") == "response" and fields.get("warc-payload-digest", "").startswith("sha1:")):
+                raise ValueError("nothing vouches for the record")
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)
-            nxt = data.find(_MAGIC, at + 1) if zipped else (m.start() if (m := _VERSION.search(data, at + 1)) else -1)
-            at = len(data) if nxt < 0 else nxt
+            at = m.start() if (m := _VERSION.search(data, at + 1)) else len(data)
             continue
         if bad >= 0:
-            out.gaps.append((bad, at - bad, why))
+            yield bad, at, why
             bad = -1
-        out.records += found
+        yield at, end, fields, block
         at = end
     if bad >= 0:
-        out.gaps.append((bad, len(data) - bad, why))
+        yield bad, len(data), why
+
+
+def salvage(data: bytes) -> Salvage:
+    """All records of an archive (gzip members or plain) whose checks hold, and the gaps between them.
+
+    Where a check fails, the reader goes on at the next place where a member or a version line starts. Of a damaged member
+    those records are kept whose payload digest holds, and of a sound one with a damaged record the others; a gap inside a
+    member is logged with the member's offset and length.
+    """
+    out, at, bad, why = Salvage(), 0, -1, ""
+    start = re.compile(re.escape(_MAGIC) + b"|" + _VERSION.pattern)
+
+    def close(end: int) -> None:
+        nonlocal bad
+        if bad >= 0:
+            out.gaps.append((bad, end - bad, why))
+            bad = -1
+
+    while at < len(data):
+        found: list[Record] = []
+        failure, end = "", at
+        if data[at : at + 3] == _MAGIC:
+            body, end, failure = _member(data, at)
+            inner = list(_plain(body, bool(failure)))
+            found = [Record(at, x[2], x[3]) for x in inner if len(x) == 4]
+            if not failure and len(found) < len(inner):
+                close(at)
+                out.gaps.append((at, end - at, next(x[2] for x in inner if len(x) == 3)))
+        else:
+            try:
+                fields, block, end = _parse(data, at)
+                found = [Record(at, fields, block)]
+            except ValueError as e:
+                failure = str(e)
+        if failure:
+            if bad < 0:
+                bad, why = at, failure
+            out.records += found
+            at = m.start() if (m := start.search(data, at + 1)) else len(data)
+            continue
+        close(at)
+        out.records += found
+        at = end
+    close(len(data))
     return out
 
 
