@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint, read
 
 _NULL_FIRST = -(2**63)
-BROADCAST_HASHES = 2_000_000  # up to so many 8-byte hashes of repeated chunks are broadcast; more are joined by shuffle
+BROADCAST_DOCS = 500_000  # up to so many 16-byte keys of documents are broadcast
+BROADCAST_HASHES = 1_000_000  # up to so many 8-byte hashes of repeated chunks are broadcast; more are joined by shuffle
 
 
-def line_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2, every: int = 4, longest: int = 64, blocks: bool = False) -> DataFrame:
-    """(_cs_id, _cs_key, start, len, chunk) of every chunk of two lines or more; lines count from 0.
+def _cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2, every: int = 4, longest: int = 64, blocks: bool = False) -> DataFrame:
+    """(_cs_id, _cs_key, l: lines, h: their hashes, p: start and len of every chunk of two lines or more); lines count from 0.
 
     A chunk ends after line i if the hash of the hashes of lines i-window+1 .. i is 0 modulo ``every`` and that of the line before
     is not, unless a single line would be left at either end of the text; after ``longest`` lines; and at the end of the text.
@@ -42,17 +43,39 @@ def line_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
         d = d.withColumn("full", F.filter(F.sequence(F.lit(0), last), lambda i: F.trim(F.translate(F.get("l", i), "\t\r", "")) != ""))
         two = F.transform("full", lambda s, k: F.struct(s.alias("start"), (F.get("full", k + 1) - s + 1).alias("len")))
         d = d.withColumn("p", F.array_union("p", F.filter(two, lambda p: p["len"].isNotNull())))
-    return d.select("_cs_id", "_cs_key", F.explode(F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), F.array_join(F.slice("l", p["start"] + 1, p["len"]), "\n").alias("chunk")))).alias("c")).select("_cs_id", "_cs_key", "c.*")
+    return d.select("_cs_id", "_cs_key", "l", "h", "p")
+
+
+def _texts(d: DataFrame, spans: str, *more: str) -> DataFrame:
+    """A row for each of the ``spans`` (start, len and the fields ``more``) of a row, with the text of its lines."""
+    chunk = lambda p: F.array_join(F.slice("l", p["start"] + 1, p["len"]), "\n").alias("chunk")
+    each = F.transform(spans, lambda p: F.struct(*(p[c].alias(c) for c in ("start", "len", *more)), chunk(p)))
+    return d.select("_cs_id", "_cs_key", F.explode(each).alias("c")).select("_cs_id", "_cs_key", "c.*")
+
+
+def line_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(_cs_id, _cs_key, start, len, chunk) of every chunk, see _cut."""
+    return _texts(_cut(docs, id_col, text, **how), "p")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(_cs_id, _cs_key, start, len) of all chunks but the first copy of each, in the order of id (null first), hash of the text, line."""
-    chunks = line_chunks(docs, id_col, text, **how).where(F.trim(F.translate("chunk", "\n\t\r", "")) != "")
-    hashed = chunks.withColumn("h", F.xxhash64("chunk"))
+    hashes = F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), F.xxhash64(F.slice("h", p["start"] + 1, p["len"])).alias("h")))
+    hashed = _cut(docs, id_col, text, **how).select("_cs_id", "_cs_key", F.explode(hashes).alias("c")).select("_cs_id", "_cs_key", "c.*")
     often = checkpoint(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     often = F.broadcast(often) if often.count() <= BROADCAST_HASHES else often
-    # only chunks whose hash occurs twice travel with their text; grouping by the text itself is the comparison of bytes
-    some = hashed.join(often, "h", "left_semi").withColumn("at", F.struct(F.coalesce(F.col("_cs_id").cast("long"), F.lit(_NULL_FIRST)).alias("o"), F.col("_cs_key").alias("k"), F.col("start").alias("s")))
+    # up to here only hashes of hashes of lines; the text is made of those chunks only whose hash occurs twice
+    hits = hashed.join(often, "h", "left_semi").groupBy("_cs_id", "_cs_key").agg(F.collect_set(F.struct("start", "len", "h")).alias("hits")).withColumnRenamed("_cs_id", "hit_id").withColumnRenamed("_cs_key", "hit_key")
+    rows = docs.where(F.col(text).contains("\n")).select(F.col(id_col).alias("_cs_id"), F.xxhash64(text).alias("_cs_key"), F.col(text).alias("t"))
+    hits = checkpoint(hits)
+    keys = hits.select("hit_id", "hit_key")
+    found = F.col("_cs_id").eqNullSafe(F.col("hit_id")) & (F.col("_cs_key") == F.col("hit_key"))
+    if keys.count() <= BROADCAST_DOCS:  # then only texts with such chunks are shuffled
+        rows = rows.join(F.broadcast(keys), found, "left_semi")
+    rows = rows.join(hits, found).select("_cs_id", "_cs_key", F.split("t", "\n", -1).alias("l"), "hits")
+    some = _texts(rows, "hits", "h").where(F.trim(F.translate("chunk", "\n\t\r", "")) != "")
+    # grouping by the text itself is the comparison of bytes
+    some = some.withColumn("at", F.struct(F.coalesce(F.col("_cs_id").cast("long"), F.lit(_NULL_FIRST)).alias("o"), F.col("_cs_key").alias("k"), F.col("start").alias("s")))
     first = some.groupBy("h", "chunk").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("fh"), F.col("chunk").alias("fc"), "first")
     return some.join(first, (F.col("h") == F.col("fh")) & (F.col("chunk") == F.col("fc")) & (F.col("at") != F.col("first"))).select("_cs_id", "_cs_key", "start", "len")
 
