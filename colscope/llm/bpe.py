@@ -24,7 +24,7 @@ from .common import read, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
 _WIDE = 512  # longer pieces go through a heap: the same merges in the same order, in n log n rather than n * n
-_CACHE_BYTES = 192 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
+_CACHE_BYTES = 64 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
 _CACHED = 64  # longer chunks (texts without spaces, say) are not cached
 _UNSAFE = re.compile(r" \s|\s |^ | $")
 
@@ -32,11 +32,11 @@ _UNSAFE = re.compile(r" \s|\s |^ | $")
 class PairTable:
     """(left id, right id) -> merged id, open addressing, looked up for whole arrays."""
 
-    def __init__(self, pairs: dict[tuple[int, int], int]):
+    def __init__(self, pairs: dict[int, int]):
         bits = max(4, (2 * len(pairs)).bit_length())
         self.mask, self.shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
         self.keys, self.vals = np.full(1 << bits, 2**64 - 1, np.uint64), np.full(1 << bits, _NONE, np.int32)
-        keys = np.array([a << 32 | b for a, b in pairs], np.uint64)
+        keys = np.array(list(pairs), np.uint64)
         vals = np.array(list(pairs.values()), np.int32)
         at, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(left):
@@ -99,7 +99,7 @@ class ByteBPE:
         if (self.byte < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
         # every way to cut a token in two tokens is a pair that merges to it
-        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pairs, self.table = pairs, PairTable(pairs)
         size = max(ranks.values()) + 1
         self.names = [str(i) for i in range(size)]
@@ -120,7 +120,7 @@ class ByteBPE:
     def _heap(self, piece: bytes) -> list[int]:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         nxt, prv = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -132,7 +132,7 @@ class ByteBPE:
             if nxt[i] < len(ids):
                 prv[nxt[i]] = i
             for k in (prv[i], i):
-                if k >= 0 and nxt[k] < len(ids) and (m := self.pairs.get((ids[k], ids[nxt[k]]))) is not None:
+                if k >= 0 and nxt[k] < len(ids) and (m := self.pairs.get(ids[k] << 32 | ids[nxt[k]])) is not None:
                     heapq.heappush(heap, (m, k, ids[k], ids[nxt[k]]))
         return [x for x in ids if x >= 0]
 
@@ -280,7 +280,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(vocabulary, pattern)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             n, enc, dec, all_ids = [], [], [], []
             pieces, cache = model.encode_texts([t.decode("utf-8", "replace") for t in texts_of(batch)])
             for own in pieces:

@@ -10,8 +10,10 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -27,12 +29,18 @@ from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
 _SLICE_BYTES = 6 << 20
+_ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application, so that they need no installation of their own."""
+    """Sends this package to the Python workers, once per application, so that they need no installation of their own.
+
+    Arrow batches are cut to BATCH_ROWS where the session leaves them at Spark's default: 10,000 long texts are too much for a worker.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_colscope_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -147,7 +155,7 @@ def shards_for(n_bytes: int, each: int) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each has about ``limit`` bytes in column ``text``, one row at least."""
+    """Cuts Arrow batches so that each has about ``limit`` bytes in column ``text``, one row at least. Gives memory back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -159,6 +167,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = _SLICE
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Python workers live on between tasks: what a task has freed goes back to the system, not to the allocator's reserve."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, i: int = 1) -> list[bytes]:
@@ -171,7 +187,9 @@ def exchange(df: DataFrame, mapper: Callable, reducer: Callable, schema: str) ->
     """mapper: Arrow batches to batches (shard int, blob binary); reducer: all blobs of a shard to a table."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        return reducer(table.column("shard")[0].as_py(), table.column("blob").to_pylist())
+        out = reducer(table.column("shard")[0].as_py(), table.column("blob").to_pylist())
+        release()
+        return out
 
     return df.mapInArrow(mapper, "shard int, blob binary").groupBy("shard").applyInArrow(reduce, schema)
 
