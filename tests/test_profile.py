@@ -213,7 +213,7 @@ def test_relationships(farm):
 
 def test_relationship_rules(spark):
     few = RelationshipAnalyzer(spark.createDataFrame([(i, i * i) for i in range(5)], "a long, b long")).analyze()
-    assert few.rows[0]["notes"] == "Not enough valid observations" and few.insights() == ["No strong or clearly meaningful relationships were found."]
+    assert few.rows[0]["notes"] == "Not enough valid observations" and few.insights() == ["[none] no pair stands out"]
     assert "No meaningful relationships to graph" in few.to_html() and "empty" in repr(few.graph())
     rnd = random.Random(4)
     rows = [(a := rnd.choice("xyz"), a.upper(), f"k{i % 60}", f"2020-{i // 28 % 12 + 1:02}-{i % 28 + 1:02}", float(i // 28 % 12 * 31 + i % 28)) for i in range(336)]
