@@ -24,7 +24,7 @@ from .common import read, slices, texts_of
 
 _NONE = np.int32(2**31 - 1)
 _WIDE = 512  # longer pieces go through a heap: the same merges in the same order, in n log n rather than n * n
-_CACHE_BYTES = 64 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
+_CACHE_BYTES = 128 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
 _CACHED = 64  # longer chunks (texts without spaces, say) are not cached
 _UNSAFE = re.compile(r" \s|\s |^ | $")
 
@@ -280,7 +280,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(vocabulary, pattern)
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=4 << 20):
             n, enc, dec, all_ids = [], [], [], []
             pieces, cache = model.encode_texts([t.decode("utf-8", "replace") for t in texts_of(batch)])
             for own in pieces:
