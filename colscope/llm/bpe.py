@@ -10,23 +10,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import sys
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices, texts_of
+from .common import read, slices
 
 _NONE = np.int32(2**31 - 1)
 _WIDE = 512  # longer pieces go through a heap: the same merges in the same order, in n log n rather than n * n
-_CACHE_BYTES = 128 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
+_CACHE_BYTES = 64 << 20  # of cached chunks in a worker, as estimated; a full cache is emptied
 _CACHED = 64  # longer chunks (texts without spaces, say) are not cached
-_UNSAFE = re.compile(r" \s|\s |^ | $")
+_SLICE = 1 << 20  # bytes of text that are encoded at a time, one text at least
+_PART = 1 << 16  # ids that are made text of at a time
 
 
 class PairTable:
@@ -67,15 +67,25 @@ class PairTable:
         return out
 
 
-class _Either(dict):
-    """The cache, and what this batch has new."""
+def _short_blank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """White space of two bytes."""
+    return (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
 
-    def __init__(self, cache: dict, new: dict):
-        super().__init__(new)
-        self.cache = cache
 
-    def __missing__(self, key: str) -> tuple[str, int, bytes]:
-        return self.cache[key]
+def _wide_blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """White space of three bytes."""
+    general = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    return (a == 0xE2) & general | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+
+
+def _valid(col: pa.Array) -> pa.Array:
+    """Texts as UTF-8 bytes, null as empty; what is no UTF-8 is replaced as decoding does."""
+    col = pc.fill_null(col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()), b"")
+    try:
+        pc.cast(col, pa.large_string() if col.type == pa.large_binary() else pa.string())
+        return col
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace").encode() for t in col.to_pylist()], pa.binary())
 
 
 def _public_pattern() -> str | None:
@@ -109,7 +119,7 @@ class ByteBPE:
         self.starts = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
         by_id = sorted(ranks, key=ranks.get)
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.cache: dict[bytes, bytes] = {}  # neither is tracked by the garbage collector
         self.held = 0
 
     @classmethod
@@ -177,8 +187,7 @@ class ByteBPE:
                 rank[last[at[last] < width - 1], at[last[at[last] < width - 1]]] = _NONE
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    def encode_pieces(self, raw: list[bytes]) -> list[bytes]:
         out = [b""] * len(raw)
         buckets: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
@@ -196,60 +205,75 @@ class ByteBPE:
                     out[i] = ids
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        """Cuts before single spaces between two characters that are no white space: no piece of the pattern spans such a place.
+    def _cuts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where chunks start: at each text, and at single spaces between two characters that are no white space.
 
         The public pattern's pieces take a space at their start at most, so each chunk is cut into pieces on its own. With any
         other pattern a text is one chunk.
         """
+        own = starts[ends > starts]
         if not self.known:
-            return [text]
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out = [parts[0]]
-        out += [" " + p for p in parts[1:]]
-        if _UNSAFE.search(text):
-            joined = [out[0]]
-            for before, p, chunk in zip(parts, parts[1:], out[1:], strict=False):
-                if not before or not p or before[-1].isspace() or p[0].isspace():
-                    joined.append(joined.pop() + chunk)
-                else:
-                    joined.append(chunk)
-            return joined
-        return out
-
-    def encode_texts(self, texts: list[str]) -> tuple[list[list[str]], dict]:
-        """The chunks of each text, and chunk -> (ids as text, how many, ids as int32 bytes) for all of them."""
-        found = [self._chunks(t) for t in texts]
+            return own
+        at = np.flatnonzero(data == 32)
+        inside = np.ones(len(data) + 1, bool)
+        inside[own], inside[ends[ends > 0] - 1] = False, False
+        at = at[inside[at]]
+        at = at[(data[at - 1] > 32) & (data[at + 1] > 32)]
+        odd = (data[at - 1] > 127) | (data[at + 1] > 127)
+        if odd.any():  # the wide white space characters
+            padded = np.concatenate((np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)))
+            some = at[odd] + 3
+            blank = _wide_blank(*(padded[some - k] for k in (3, 2, 1))) | _wide_blank(*(padded[some + k] for k in (1, 2, 3)))
+            blank |= _short_blank(padded[some - 2], padded[some - 1]) | _short_blank(padded[some + 1], padded[some + 2])
+            at = np.delete(at, np.flatnonzero(odd)[blank])
+        return np.sort(np.concatenate((own, at)))
+
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks, as int32 bytes."""
         if self.held > _CACHE_BYTES:
             self.cache.clear()
             self.held = 0
-        new: set[str] = set()
-        for own in found:
-            new.update(own)
-        new.difference_update(self.cache)
+        out = list(map(self.cache.get, chunks))
+        new = [i for i, ids in enumerate(out) if ids is None]
         # ASCII letters after one space at most are one piece of the public pattern; all else is cut by it
-        one = [c for c in new if c.isascii() and (c[1:] if c[:1] == " " else c).isalpha()] if self.known else []
-        rest = list(new.difference(one))
-        cut = [self.pattern.findall(c) for c in rest]
-        pieces = list({p for x in cut for p in x}.difference(one))
-        ids_of = dict(zip(one, self.encode_pieces(one), strict=True))
-        ids_of.update(zip(pieces, self.encode_pieces(pieces), strict=True))
-        names, cache = self.names, self.cache
-        out: dict[str, tuple[str, int, bytes]] = {}
-        for c, own in chain(zip(one, zip(one, strict=True), strict=True), zip(rest, cut, strict=True)):
-            ids = b"".join([ids_of[p] for p in own]) if len(own) != 1 else ids_of[own[0]]
-            out[c] = (",".join([names[i] for i in memoryview(ids).cast("i")]), len(ids) >> 2, ids)
-        for c, got in out.items():
+        plain = [self.known and (c[1:] if c[:1] == b" " else c).isalpha() for c in (chunks[i] for i in new)]
+        cut = {i: [p.encode() for p in self.pattern.findall(chunks[i].decode())] for i, one in zip(new, plain, strict=True) if not one}
+        pieces = list({chunks[i] for i, one in zip(new, plain, strict=True) if one}.union(*cut.values()))
+        ids_of = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
+        for i in new:
+            c = chunks[i]
+            out[i] = ids = b"".join([ids_of[p] for p in cut[i]]) if i in cut else ids_of[c]
             if len(c) <= _CACHED:
-                cache[c] = got
-                self.held += 320 + 4 * len(c)
-        return found, _Either(cache, out)
+                self.cache[c] = ids
+                self.held += 200 + len(c) + len(ids)
+        return out
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (binary, valid UTF-8, without nulls) one after another, and where each text's ids end."""
+        bounds = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)))
+        data = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+        cuts = self._cuts(data, bounds[:-1], bounds[1:])
+        if not len(cuts):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        offsets = np.append(cuts, len(data))
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        found = self._ids_of(chunks.dictionary.to_pylist())
+        at = chunks.indices.to_numpy()
+        n = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat, starts = np.frombuffer(b"".join(found), np.int32), np.cumsum(n) - n
+        ends = np.cumsum(n[at])
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n[at], n[at])]
+        last = np.searchsorted(cuts, bounds[1:])  # chunks up to the end of each text
+        return ids, np.concatenate(([0], ends))[last]
 
     def encode(self, text: str) -> list[int]:
-        (pieces,), cache = self.encode_texts([text])
-        return [i for p in pieces for i in memoryview(cache[p][2]).cast("i")]
+        return self.encode_texts(pa.array([text.encode("utf-8", "replace")], pa.binary()))[0].tolist()
+
+    def text_of(self, ids: np.ndarray) -> Iterator[bytes]:
+        """Decimal ids joined by commas, in parts."""
+        for k in range(0, len(ids), _PART):
+            part = ",".join(map(self.names.__getitem__, ids[k : k + _PART].tolist()))
+            yield (("," if k else "") + part).encode()
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
@@ -280,21 +304,22 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(vocabulary, pattern)
-        for batch in slices(batches, limit=4 << 20):
-            n, enc, dec, all_ids = [], [], [], []
-            pieces, cache = model.encode_texts([t.decode("utf-8", "replace") for t in texts_of(batch)])
-            for own in pieces:
-                got = [cache[p] for p in own]
-                ids = np.frombuffer(b"".join([g[2] for g in got]), np.int32)
-                n.append(len(ids))
-                enc.append(hashlib.sha256(",".join([g[0] for g in got if g[1]]).encode()).hexdigest())
-                dec.append(hashlib.sha256(model.decode(ids)).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
+        for batch in slices(batches, limit=_SLICE):
+            ids, ends = model.encode_texts(_valid(batch.column(1)))
+            decoded = memoryview(model.decode(ids))
+            bytes_to = np.concatenate(([0], np.cumsum(model.lens[ids])))
+            n, enc, dec, at = np.diff(ends, prepend=0), [], [], 0
+            for to in ends.tolist():
+                digest = hashlib.sha256()
+                for part in model.text_of(ids[at:to]):
+                    digest.update(part)
+                enc.append(digest.hexdigest())
+                dec.append(hashlib.sha256(decoded[bytes_to[at] : bytes_to[to]]).hexdigest())
+                at = to
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "token_ids"]
+                cols, names = [*cols, pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))], [*names, "token_ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids

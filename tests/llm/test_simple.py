@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -335,3 +336,24 @@ def test_bpe_cache_is_bounded(monkeypatch):
     for k in range(50):
         assert model.encode(f"word{k} " + "x" * 200 + "日本語" * 50) == list((f"word{k} " + "x" * 200 + "日本語" * 50).encode())
     assert len(model.cache) < 20 and max(map(len, model.cache)) <= 64
+
+
+def test_bpe_chunks_at_any_white_space():
+    model = bpe.ByteBPE.from_file(RANKS, P.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
+    rnd = random.Random(5)
+    signs = [" ", "  ", "a", "é", "日", "x1", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "\t", "\n", "\x1c", "'s", "“", "ế", "à", "…", "Å", "Р"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(3000)] + ["", " ", "", " a", "a "]
+    ids, ends = model.encode_texts(pa.array([t.encode() for t in texts], pa.binary()))
+    at = 0
+    for t, to in zip(texts, ends.tolist(), strict=True):
+        assert ids[at:to].tolist() == library.encode_ordinary(t), t
+        at = to
+    assert at == len(ids)
+
+
+def test_bpe_replaces_what_is_no_utf8(spark):
+    docs = spark.sql("select * from values (1, cast(x'61ff2062' as string)), (2, cast(x'e6' as string)), (3, cast(x'97a5' as string)) as t(doc_id, text)")
+    want = {1: b"a\xff b", 2: b"\xe6", 3: b"\x97\xa5"}
+    for r in bpe.bpe_encode(docs, RANKS, P.PATTERN).collect():
+        assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].decode("utf-8", "replace").encode()).hexdigest()
