@@ -1,6 +1,6 @@
 """The statistics kernel: every report is a projection of what three passes gather.
 
-Pass A is one aggregate over all columns; pass B, which needs A's means and quartiles, is another; pass F counts values column by
+Pass A is one aggregate over all columns; percentiles take three small ones (plans/quantiles.py); pass B needs A's means and the quartiles; pass F counts values column by
 column. What comes to the driver is one row per column. Percentiles and distinct counts are exact, or approximate on request.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs
 from ..functions.families import as_text, col, families, groupable, logical_bytes, value
+from .quantiles import exact_percentiles
 
 CHUNK = 30  # columns per aggregate, so that generated code stays below the JVM's limits
 QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -113,24 +114,42 @@ def _first(f: T.StructField, fam: str, pii: bool, approx: bool) -> dict[str, Col
         out["nunique"] = F.approx_count_distinct(c)
     if fam == "numeric":
         x = value(f.name, fam, f)
-        cuts = F.array(*map(F.lit, QUANTILES))
         finite = F.when(F.abs(x) != float("inf"), x)
         out |= {
             "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "var": F.var_samp(x), "g1": F.skewness(x), "g2": F.kurtosis(x),
-            "q": F.percentile_approx(x, list(QUANTILES), 10_000) if approx else F.percentile(x, cuts),
             "sq": F.avg(x * x), "ln": F.avg(F.when(finite > 0, F.ln(finite))), "inv": F.sum(F.when(x > 0, 1 / x)),
             "zero": F.count_if(x == 0), "negative": F.count_if(x < 0), "inf": F.count_if(F.abs(x) == float("inf")),
         }
+        if approx:
+            out["q"] = F.percentile_approx(x, list(QUANTILES), 10_000)
     else:
         t = as_text(f.name, fam, f)
         out |= {"space": F.count_if(exprs.has_outer_space(t)), "empty": F.count_if(t == ""), "special": F.count_if(exprs.has_special(t)), "numeric_like": F.count_if(exprs.is_numeric_like(t))}
     if pii:
-        s = exprs.strip(as_text(f.name, fam, f))
-        s = F.when(s != "", s)
-        out |= {"texts": F.count(s), **{f"is_{k}": F.count_if(m) for k, m in exprs.matches(s).items()}}
+        s = F.col(_STRIPPED + f.name.replace("`", "``") + "`")
+        possible = exprs.matches(s)
+        if fam == "numeric":  # digits, a sign, a point and an exponent at most
+            whole = not isinstance(f.dataType, (T.FloatType, T.DoubleType))
+            possible = {k: m if whole and k in ("PHONE", "POSSIBLE_ID") else F.lit(False) for k, m in possible.items()}
+        out |= {"texts": F.count(s), **{f"is_{k}": F.count_if(m) for k, m in possible.items()}}
     return out
 
 
+_STRIPPED = "`_cs_stripped_"
+
+
+def _with_stripped(df: DataFrame) -> DataFrame:
+    """Each column's text without outer white space beside it, made once for all predicates that read it; null where nothing is left."""
+    fams, extra = families(df), []
+    for f in df.schema.fields:
+        s = as_text(f.name, fams[f.name], f)
+        if fams[f.name] != "numeric":
+            s = exprs.strip(s)
+            s = F.when(s != "", s)
+        extra.append(s.alias(f"_cs_stripped_{f.name}"))
+    return df.select("*", *extra)
+
+
 def frequencies(df: DataFrame, names: list[str]) -> dict[str, dict[str, Any]]:
     """nunique, mode (smallest of the most frequent, as text) and its frequency, by one grouping per column.
 
@@ -152,12 +171,16 @@ def frequencies(df: DataFrame, names: list[str]) -> dict[str, dict[str, Any]]:
 
 
 def column_stats(df: DataFrame, pii: bool = False, approx: bool = False, spread: bool = True, counts: bool = True) -> list[ColumnStats]:
-    """Statistics of all columns, in their order. spread: pass B; counts: pass F (always exact unless ``approx``)."""
+    """Statistics of all columns, in their order. spread: percentiles and pass B; counts: pass F (always exact unless ``approx``)."""
     fams = families(df)
     out = []
-    for f, got in zip(df.schema.fields, _run(df, [_first(f, fams[f.name], pii, approx) for f in df.schema.fields]), strict=True):
+    for f, got in zip(df.schema.fields, _run(_with_stripped(df) if pii else df, [_first(f, fams[f.name], pii, approx) for f in df.schema.fields]), strict=True):
         out.append(ColumnStats(f.name, fams[f.name], f.dataType.simpleString(), got.pop("n"), got))
     fields = {f.name: f for f in df.schema.fields}
+    if spread and not approx:
+        nums = [s for s in out if s.numeric]
+        for s, q in zip(nums, exact_percentiles(df, [value(s.name, s.family, fields[s.name]) for s in nums], [s.non_null for s in nums], QUANTILES), strict=True):
+            s.values["q"] = q
     if spread and (nums := [s for s in out if s.numeric and s.q]):
         wanted = []
         for s in nums:
@@ -173,6 +196,8 @@ def column_stats(df: DataFrame, pii: bool = False, approx: bool = False, spread:
             got.pop("n")
             s.values.update(got)
     for s in out:
+        if s.numeric:
+            s.values.setdefault("q", None)
         s.values.setdefault("outliers", 0)
         s.values.setdefault("mad", None)
         s.values.setdefault("z_outliers", 0)

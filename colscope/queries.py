@@ -17,19 +17,22 @@ from .streaming.windows import windowed_quality
 
 # Sources are SQL that both engines run. Holes and repeats are edited in, as the tables have none.
 SOURCES = {
-    "lineitem": "select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus from lineitem",
-    "orders": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
+    "lineitem": "select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate from lineitem",
+    "orders": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders",
     "holes": "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice, case when o_orderkey % 5 = 0 then null when o_orderkey % 11 = 0 then '' when o_orderkey % 13 = 0 then concat(' ', o_orderpriority) else o_orderpriority end as o_orderpriority, case when o_orderkey % 3 = 0 then -o_custkey else o_custkey end as o_custkey from orders",
     "customer": "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer",
     "supplier": "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier",
     "part": "select p_partkey, p_name, p_brand, p_type, p_size, p_retailprice from part",
-    "events": "select event_id, user_id, event_type, value from events",
-    "documents": "select doc_id, lang, source, n_chars from documents",
+    "events": "select event_id, ts, user_id, event_type, value, props from events",
+    "documents": "select doc_id, text, lang, source, n_chars from documents",
     "labels": "select doc_id, quality, toxic from labels",
     "talks": "select conv_id, turn, role, text from conversations",
     "flags": "select l_returnflag, l_linestatus from lineitem",
     "derived": "select l_extendedprice, l_discount, l_extendedprice * (1 - l_discount) as revenue, 1 as one, l_quantity from lineitem",
-    "after": "select o_orderkey, case when o_orderkey % 14 = 0 then null else o_totalprice end as o_totalprice, o_orderpriority, 1 as added from orders where o_orderkey % 10 <> 0",
+    "after": "select o_orderkey + 1 as o_orderkey, case when o_orderkey % 14 = 0 then null else o_totalprice + 1 end as o_totalprice, case when o_orderkey % 10 = 0 then null else o_orderpriority end as o_orderpriority, 1 as added from orders",
+    # every kind of personal data, with holes and some values that aren't
+    "contacts": "select c_custkey, case when c_custkey % 9 = 0 then null else concat('user', c_custkey, '@example.com') end as mail, concat('+91 ', cast(9000000000 + c_custkey as varchar(10))) as reach, case when c_custkey % 20 = 0 then 'none' else concat('1234 5678 ', lpad(cast(c_custkey % 10000 as varchar(10)), 4, '0')) end as uid, concat('ABCDE', lpad(cast(c_custkey % 10000 as varchar(10)), 4, '0'), 'F') as tax, case when c_custkey % 10 = 0 then 'none' else concat('10.', c_custkey % 256, '.', c_custkey % 7, '.1') end as host, concat(' Ann ', c_mktsegment, ' ') as who, concat(c_custkey, ' Main Street') as home from customer",
+    "prices": "select l_linenumber, l_quantity, l_extendedprice, l_discount, -l_extendedprice * l_extendedprice as cost, case when l_linenumber > 5 then null else l_quantity * l_quantity end as square from lineitem",
 }
 
 
@@ -44,16 +47,17 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # (column, family, Spark type) of each source; n: numeric, s: text
 COLUMNS = {
-    "lineitem": "l_orderkey n bigint,l_linenumber n int,l_quantity n double,l_extendedprice n double,l_discount n double,l_tax n double,l_returnflag s string,l_linestatus s string",
-    "orders": "o_orderkey n bigint,o_custkey n bigint,o_orderstatus s string,o_totalprice n double,o_orderpriority s string",
+    "lineitem": "l_orderkey n bigint,l_partkey n bigint,l_suppkey n bigint,l_linenumber n int,l_quantity n double,l_extendedprice n double,l_discount n double,l_tax n double,l_returnflag s string,l_linestatus s string,l_shipdate s timestamp_ntz",
+    "orders": "o_orderkey n bigint,o_custkey n bigint,o_orderstatus s string,o_totalprice n double,o_orderdate s timestamp_ntz,o_orderpriority s string",
     "holes": "o_orderkey n bigint,o_totalprice n double,o_orderpriority s string,o_custkey n bigint",
     "customer": "c_custkey n bigint,c_name s string,c_nationkey n int,c_acctbal n double,c_mktsegment s string",
     "supplier": "s_suppkey n bigint,s_name s string,s_nationkey n int,s_acctbal n double",
     "part": "p_partkey n bigint,p_name s string,p_brand s string,p_type s string,p_size n int,p_retailprice n double",
-    "events": "event_id n bigint,user_id n bigint,event_type s string,value n double",
-    "documents": "doc_id n bigint,lang s string,source s string,n_chars n bigint",
+    "events": "event_id n bigint,ts s timestamp_ntz,user_id n bigint,event_type s string,value n double,props s string",
+    "documents": "doc_id n bigint,text s string,lang s string,source s string,n_chars n bigint",
     "labels": "doc_id n bigint,quality n int,toxic n int",
     "talks": "conv_id n bigint,turn n bigint,role s string,text s string",
+    "contacts": "c_custkey n bigint,mail s string,reach s string,uid s string,tax s string,host s string,who s string,home s string",
 }
 _WIDTH = {"bigint": 8, "int": 4, "double": 8, "float": 4, "smallint": 2, "tinyint": 1}
 _WS = r"[ \t\n\r\x0b\f]"
@@ -82,11 +86,13 @@ def base_sql(name: str) -> str:
             )
             frm = f"src cross join {b} b"
         else:
+            x = c if kind == "string" else f"cast({c} as varchar)"
+            size = f"coalesce(sum(strlen({c})), 0)" if kind == "string" else f"count({c}) * 8"
             null = ", ".join(f"cast(null as double) as {n}" for n in "mn mx av sd vr sk ku q1 q2 q3 p95 p99 geo har rms".split())
             num = (
-                f"coalesce(sum(strlen({c})), 0) as bytes, {null}, 0 as ze, 0 as ne, 0 as inf, 0 as ou, cast(null as double) as mad, 0 as zo, count(*) filter (where regexp_matches({c}, '^{_WS}|{_WS}$')) as sp, "
-                f"count(*) filter (where {c} = '') as em, count(*) filter (where regexp_matches({c}, '[^a-zA-Z0-9 \\t\\n\\r\\x0b\\f]')) as spec, "
-                f"count(*) filter (where regexp_matches(regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')) as nl"
+                f"{size} as bytes, {null}, 0 as ze, 0 as ne, 0 as inf, 0 as ou, cast(null as double) as mad, 0 as zo, count(*) filter (where regexp_matches({x}, '^{_WS}|{_WS}$')) as sp, "
+                f"count(*) filter (where {x} = '') as em, count(*) filter (where regexp_matches({x}, '[^a-zA-Z0-9 \\t\\n\\r\\x0b\\f]')) as spec, "
+                f"count(*) filter (where regexp_matches(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')) as nl"
             )
             frm = "src"
         parts.append(f"select {i} as pos, '{c}' as \"column\", '{kind}' as dtype, '{fam}' as fam, (select count(*) from src) as n, t.*, f.u, coalesce(f.mf, 0) as mf, {mode} as mode from (select count({c}) as nn, {num} from {frm}) t cross join {freq} f")
@@ -127,7 +133,7 @@ def score_query(name: str, w: dict[str, float] | None, by: str) -> tuple[Callabl
 
 
 # PII -----------------------------------------------------------------------------------------------------------------
-def pii_query(name: str, least: float = 60) -> tuple[Callable, str]:
+def pii_sql(name: str, least: float = 60) -> str:
     word, octet = r"[A-Za-z][A-Za-z''.\-]*", r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     words = "|".join(w.replace(".", r"\.") for w in exprs.ADDRESS_WORDS)
     parts = []
@@ -146,8 +152,22 @@ def pii_query(name: str, least: float = 60) -> tuple[Callable, str]:
         for k, (kind, test) in enumerate(tests.items()):
             bonus = 10 if any(h in c.lower() for h in exprs.NAME_HINTS[kind]) else 0
             parts.append(f"select {i} as pos, {k} as k, '{c}' as \"column\", '{kind}' as pii_type, least(100, count(*) filter (where {test}) * 100.0::double / count(*) + {bonus}) as p from (select regexp_replace(cast({c} as varchar), '^{_WS}+|{_WS}+$', '', 'g') as t from src) where t <> '' having count(*) > 0")
-    sql = f"with src as ({SOURCES[name]}), a as (" + " union all ".join(parts) + f") select \"column\", pii_type, round(p, 2) as confidence_pct from (select *, row_number() over (partition by pos order by p desc, k) as r from a) where r = 1 and p >= {least} and p > 0"
-    return (lambda spark, sf: DataProfiler(source(spark, sf, name)).pii(least)), sql
+    return f"with src as ({SOURCES[name]}), a as (" + " union all ".join(parts) + f") select \"column\", pii_type, round(p, 2) as confidence_pct from (select *, row_number() over (partition by pos order by p desc, k) as r from a) where r = 1 and p >= {least} and p > 0"
+
+
+def pii_query(name: str, least: float = 60) -> tuple[Callable, str]:
+    return (lambda spark, sf: DataProfiler(source(spark, sf, name)).pii(least)), pii_sql(name, least)
+
+
+def mask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DataProfiler(source(spark, sf_dir, "contacts")).pii(mask=True)
+
+
+MASK_TABLE_SQL = (
+    "select c_custkey, case when mail is not null then concat(substr(mail, 1, 1), repeat('*', cast(greatest(1, strpos(mail, '@') - 2) as bigint)), substr(mail, strpos(mail, '@'))) end as mail, concat('91********', right(reach, 2)) as reach, case when uid = 'none' then '****' else concat('********', right(uid, 4)) end as uid, concat('AB*******', right(tax, 1)) as tax, "
+    "case when strpos(host, '.') > 0 then concat(regexp_replace(host, '[.][^.]*$', '.'), '***') else repeat('*', length(host)) end as host, concat('A** ', substr(trim(who), 5, 1), repeat('*', length(trim(who)) - 5)) as who, '[REDACTED ADDRESS]' as home "
+    f"from ({SOURCES['contacts']})"
+)
 
 
 MASKED = [("john.doe@gmail.com", "9876543210", "1234 5678 9012", "ABCDE1234F", "192.168.1.1", "Rahul Sharma", "12 Main Street"), (None,) * 7]
@@ -200,40 +220,31 @@ KENDALL_SQL = (
 
 # alerts --------------------------------------------------------------------------------------------------------------
 def alerts_query(name: str, level: str = "low") -> tuple[Callable, str]:
-    """PII alerts are compared by the pii queries; here, the other rules."""
     head = base_sql(name)
+    pct = lambda a, b: f"round({a} * 100.0::double / {b}, 2)"
     idc = "n > 10 and up > 95"
     rules = [
-        ("mp > 0", "case when mp > 50 then 'High' when mp > 10 then 'Medium' else 'Low' end", "Missing Values"),
-        ("fam='n' and n > 1 and coalesce(vr, 0) = 0", "'High'", "Constant Column"),
-        ("fam='n' and vr > 0 and abs(sk) > 1", "case when abs(sk) > 2 then 'Medium' else 'Low' end", "Skewed Distribution"),
-        ("fam='n' and vr > 0 and op > 0", "case when op > 25 then 'High' when op > 10 then 'Medium' else 'Low' end", "Outliers"),
-        ("fam='n' and vr > 0 and ze * 100.0 / n > 50", "'Medium'", "Zero-Heavy Column"),
-        (idc, "'Low'", "Possible ID Column"),
-        (f"fam='s' and not ({idc}) and u > 50 and up > 50", "'Medium'", "High Cardinality"),
-        ("fam='s' and nn > 0 and mf * 1.0 / nn > 0.95", "'Medium'", "Near-Constant Column"),
-        ("fam='s' and nn > 0 and nl * 1.0 / nn > 0.8", "'Medium'", "Wrong Data Type"),
-        ("fam='s' and em > 0 and round(em * 100.0 / nn, 2) > 0", "case when round(em * 100.0 / nn, 2) > 5 then 'Medium' else 'Low' end", "Empty Strings"),
-        ("fam='s' and sp > 0 and round(sp * 100.0 / nn, 2) > 0", "'Low'", "Extra Whitespace"),
+        ("mp > 0", "case when mp > 50 then 'High' when mp > 10 then 'Medium' else 'Low' end", "Missing Values", "mp, '% missing.'"),
+        ("fam='n' and n > 1 and coalesce(vr, 0) = 0", "'High'", "Constant Column", "'all ', n, ' values are equal'"),
+        ("fam='n' and vr > 0 and abs(sk) > 1", "case when abs(sk) > 2 then 'Medium' else 'Low' end", "Skewed Distribution", "'skewness ', round(sk, 2)"),
+        ("fam='n' and vr > 0 and op > 0", "case when op > 25 then 'High' when op > 10 then 'Medium' else 'Low' end", "Outliers", "op, '% lie outside the quartile fences'"),
+        ("fam='n' and vr > 0 and ze * 100.0 / n > 50", "'Medium'", "Zero-Heavy Column", f"'zeros: ', {pct('ze', 'n')}, '%'"),
+        (idc, "'Low'", "Possible ID Column", "up, '% distinct, as a key would be'"),
+        (f"fam='s' and not ({idc}) and u > 50 and up > 50", "'Medium'", "High Cardinality", "u, ' categories, too many for one-hot columns'"),
+        ("fam='s' and nn > 0 and mf * 1.0 / nn > 0.95", "'Medium'", "Near-Constant Column", f"{pct('mf', 'nn')}, '% are ''', mode, ''''"),
+        ("fam='s' and nn > 0 and nl * 1.0 / nn > 0.8", "'Medium'", "Wrong Data Type", f"{pct('nl', 'nn')}, '% parse as numbers, the type is ', dtype"),
+        ("fam='s' and em > 0 and round(em * 100.0 / nn, 2) > 0", "case when round(em * 100.0 / nn, 2) > 5 then 'Medium' else 'Low' end", "Empty Strings", f"'empty strings: ', {pct('em', 'nn')}, '%'"),
+        ("fam='s' and sp > 0 and round(sp * 100.0 / nn, 2) > 0", "'Low'", "Extra Whitespace", f"'blanks at an end: ', {pct('sp', 'nn')}, '%'"),
     ]
-    body = " union all ".join(f"select {sev} as severity, \"column\", '{a}' as alert from st where {cond}" for cond, sev, a in rules)
-    dup = "select case when p > 20 then 'High' when p > 5 then 'Medium' else 'Low' end, '(table)', 'Duplicate Rows' from (select round((count(*) - (select count(*) from (select distinct * from src))) * 100.0::double / count(*), 2) as p from src) where p > 0"
+    body = " union all ".join(f"select {sev} as severity, \"column\", '{a}' as alert, concat({text}) as details from st where {cond}" for cond, sev, a, text in rules)
+    body += f" union all select case when confidence_pct >= 90 then 'High' else 'Medium' end, \"column\", 'Potential PII', concat(pii_type, ', confidence ', confidence_pct, '%') from ({pii_sql(name)}) p"
+    dup = "select case when p > 20 then 'High' when p > 5 then 'Medium' else 'Low' end, '(table)', 'Duplicate Rows', concat(p, '% repeat another row') from (select round((count(*) - (select count(*) from (select distinct * from src))) * 100.0::double / count(*), 2) as p from src) where p > 0"
     nums = numeric(name)
     pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1 :]]
-    cor = "".join(f" union all select case when abs(r) >= 0.95 then 'High' else 'Medium' end, '{a} & {b}', 'Highly Correlated Pair' from (select {_corr(a, b)} as r from src) where abs(r) >= 0.8" for a, b in pairs)
+    cor = "".join(f" union all select case when abs(r) >= 0.95 then 'High' else 'Medium' end, '{a} & {b}', 'Highly Correlated Pair', concat('Pearson ', r) from (select {_corr(a, b)} as r from src) where abs(r) >= 0.8" for a, b in pairs)
     keep = {"low": "", "medium": " where severity <> 'Low'", "high": " where severity = 'High'"}[level]
     sql = head + f"select * from ({body} union all {dup}{cor}) a" + keep
-    return (lambda spark, sf: DataProfiler(source(spark, sf, name)).alerts(min_severity=level).where("alert <> 'Potential PII'").select("severity", "column", "alert")), sql
-
-
-def pii_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataProfiler(source(spark, sf_dir, "part")).alerts().where("alert = 'Potential PII'")
-
-
-PII_ALERTS_SQL = (
-    "select case when p >= 90 then 'High' else 'Medium' end as severity, 'p_name' as \"column\", 'Potential PII' as alert, concat('Detected as POSSIBLE_NAME (', p, '% confidence).') as details from "
-    r"(select least(100, count(*) filter (where regexp_full_match(p_name, '[A-Za-z][A-Za-z''.\-]*(\s+[A-Za-z][A-Za-z''.\-]*){1,3}')) * 100.0::double / count(*) + 10) as p from part)"
-)
+    return (lambda spark, sf: DataProfiler(source(spark, sf, name)).alerts(min_severity=level)), sql
 
 
 # relationships -------------------------------------------------------------------------------------------------------
@@ -267,10 +278,42 @@ def trend_sql(src: str, a: str, ta: str, b: str, tb: str, date_first: bool) -> s
     return f"select '{a}' as column_a, '{b}' as column_b, '{ta}' as type_a, '{tb}' as type_b, 'Datetime Trend (Spearman)' as method, round(abs(corr(p, q)), 4) as strength, case when corr(p, q) > 0.05 then 'Increasing' when corr(p, q) < -0.05 then 'Decreasing' else 'Flat' end as direction, count(*) as sample_size, '' as notes from {r}"
 
 
+def number_sql(src: str, a: str, ta: str, b: str, tb: str) -> str:
+    """The stronger of Pearson and Spearman over complete rows."""
+    rank = lambda c: f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0"
+    t = f"(select x, y, {rank('x')} as p, {rank('y')} as q from (select cast({a} as double) as x, cast({b} as double) as y from ({src})) where x is not null and y is not null)"
+    return (
+        f"select '{a}' as column_a, '{b}' as column_b, '{ta}' as type_a, '{tb}' as type_b, case when abs(u) >= abs(v) then 'Pearson' else 'Spearman' end as method, round(greatest(abs(u), abs(v)), 4) as strength, "
+        f"case when (case when abs(u) >= abs(v) then u else v end) > 0 then 'Positive' else 'Negative' end as direction, n as sample_size, '' as notes from (select coalesce(corr(x, y), 0) as u, coalesce(corr(p, q), 0) as v, count(*) as n from {t})"
+    )
+
+
 def relation_sql(parts: list[str]) -> str:
     return f"select column_a, column_b, type_a, type_b, method, cast(strength as double) as strength, direction, sample_size, notes, {_CLASS} from (" + " union all ".join(parts) + ")"
 
 
+PRICES = {"l_linenumber": "numeric", "l_quantity": "numeric", "l_extendedprice": "currency", "l_discount": "numeric", "cost": "currency", "square": "numeric"}
+PRICES_SQL = relation_sql([number_sql(SOURCES["prices"], a, PRICES[a], b, PRICES[b]) for i, a in enumerate(PRICES) for b in [*PRICES][i + 1 :]])
+
+
+def top_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RelationshipAnalyzer(source(spark, sf_dir, "prices")).analyze().top(5).select("column_a", "column_b", "method", "strength", "classification")
+
+
+def graph_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RelationshipAnalyzer(source(spark, sf_dir, "prices")).analyze().graph(threshold=0.5).to_dataframe()
+
+
+def redundant_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RelationshipAnalyzer(source(spark, sf_dir, "prices")).analyze().redundant_columns().select("group_id", F.explode("columns").alias("column"))
+
+
+TOP_SQL = f"select column_a, column_b, method, strength, classification from ({PRICES_SQL}) where strength >= 0.2 order by strength desc, column_a, column_b limit 5"
+GRAPH_SQL = f"select column_a, column_b, strength, classification from ({PRICES_SQL}) where strength >= 0.5 order by strength desc, column_a, column_b limit 20"
+# the pairs from 0.95 on have no column in common here, so each is a group
+GROUPS_SQL = f"select dense_rank() over (order by least(column_a, column_b)) - 1 as group_id, unnest([column_a, column_b]) as \"column\" from ({PRICES_SQL}) where strength >= 0.95"
+
+
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", F.substring("c_mktsegment", 1, 1).alias("initial"))
     return RelationshipAnalyzer(df).analyze().dependencies()
@@ -288,7 +331,7 @@ def semantic_query(name: str) -> Callable:
 
 SEMANTIC_ORDERS_SQL = (
     "select * from (select 'o_orderkey' as \"column\", case when count(distinct o_orderkey) >= 0.95 * count(*) then 'id' else 'numeric' end as semantic_type from orders union all select 'o_custkey', case when count(distinct o_custkey) >= 0.95 * count(*) then 'id' else 'numeric' end from orders "
-    "union all select 'o_orderstatus', 'categorical' union all select 'o_totalprice', 'currency' union all select 'o_orderpriority', 'categorical')"
+    "union all select 'o_orderdate', 'datetime' union all select 'o_orderstatus', 'categorical' union all select 'o_totalprice', 'currency' union all select 'o_orderpriority', 'categorical')"
 )
 SEMANTIC_LABELS_SQL = "select 'doc_id' as \"column\", case when count(distinct doc_id) >= 0.95 * count(*) then 'id' else 'numeric' end as semantic_type from labels union all select 'quality', case when count(distinct quality) = 1 then 'constant' else 'boolean' end from labels union all select 'toxic', case when count(distinct toxic) = 1 then 'constant' else 'boolean' end from labels"
 
@@ -343,11 +386,47 @@ def compare_sql(changes: bool) -> str:
     return f"with b as ({SOURCES['before']}), a as ({SOURCES['after']}) select section, metric, before_value, after_value, change, case when rule = '' then case when before_value <> after_value then 'Changed' else 'Same' end when after_value < before_value then rule else 'Same' end as status from (select *, round(after_value - before_value, 4) as change from (" + " union all ".join(rows) + "))" + keep
 
 
+def compare_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DataComparator().compare_dataframe(source(spark, sf_dir, "before"), source(spark, sf_dir, "after"), "dataset").select("section", "metric", *(F.round(c, 4).alias(c) for c in ("before_value", "after_value", "change")), "status")
+
+
+_CELLS = {"b": ("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), "a": ("o_orderkey", "o_totalprice", "o_orderpriority", "added")}
+_BYTES = {"b": "count(o_orderkey) * 8 + count(o_totalprice) * 8 + sum(strlen(o_orderpriority)) + sum(strlen(o_orderstatus))", "a": "count(o_orderkey) * 8 + count(o_totalprice) * 8 + sum(strlen(o_orderpriority)) + count(added) * 4"}
+_DATASET = {
+    "Rows": lambda t: f"select count(*) from {t}", "Columns": lambda t: f"select {len(_CELLS[t])}", "Missing Cells": lambda t: "select " + " + ".join(f"count(*) - count({c})" for c in _CELLS[t]) + f" from {t}",
+    "Duplicate Rows": lambda t: f"select (select count(*) from {t}) - (select count(*) from (select distinct * from {t}))", "Memory MB": lambda t: f"select ({_BYTES[t]}) / 1048576.0::double from {t}",
+}
+DATASET_SQL = f"with b as ({SOURCES['before']}), a as ({SOURCES['after']}) select section, metric, before_value, after_value, round(after_value - before_value, 4) as change, case when after_value < before_value then 'Improved' when after_value > before_value then 'Increased' else 'Same' end as status from (" + " union all ".join(_cmp("Dataset", m, f("b"), f("a"), "''") for m, f in _DATASET.items()) + ")"
+
+
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataComparator().summary(source(spark, sf_dir, "before"), source(spark, sf_dir, "after")).select("column", "status")
+    return DataComparator().summary(source(spark, sf_dir, "before"), source(spark, sf_dir, "after"))
+
+
+def _note(label: str, expr: str, digits: int | None = None) -> str:
+    """A note where the value differs between b and a; digits: those it is compared by, and two to show it."""
+    b, a = (f"(select {expr} from {t})" for t in ("b", "a"))
+    show = lambda v: f"round({v}, 2)" if digits else v
+    same = f"round({b}, {digits}) <> round({a}, {digits})" if digits else f"{b} <> {a}"
+    return f"case when {same} then concat('{label} ', {show(b)}, '->', {show(a)}) end"
+
+
+def _summary_sql() -> str:
+    rows = ["select 'o_orderstatus' as \"column\", 'Removed' as status, 'Column removed' as summary", "select 'added', 'Added', 'Column added'"]
+    for c in ("o_orderkey", "o_totalprice", "o_orderpriority"):
+        x = f"cast({c} as double)"
+        notes = [_note("missing", f"count(*) - count({c})")]
+        if c == "o_orderpriority":
+            notes.append(_note("unique", f"count(distinct {c})"))
+        else:
+            fence = "(select count(*) from {t}, (select quantile_cont({x}, 0.25) as l, quantile_cont({x}, 0.75) as h from {t}) where {c} < l - 1.5 * (h - l) or {c} > h + 1.5 * (h - l))"
+            b, a = (fence.format(t=t, x=x, c=c) for t in ("b", "a"))
+            notes += [f"case when {b} <> {a} then concat('outliers ', {b}, '->', {a}) end", _note("mean", f"avg({x})", 4)]
+        rows.append(f"select '{c}', case when t = '' then 'Unchanged' else 'Changed' end, case when t = '' then 'No change' else t end from (select concat_ws('; ', {', '.join(notes)}) as t)")
+    return f"with b as ({SOURCES['before']}), a as ({SOURCES['after']}) " + " union all ".join(rows)
 
 
-SUMMARY_SQL = f"with b as ({SOURCES['before']}), a as ({SOURCES['after']}) select 'o_orderstatus' as \"column\", 'Removed' as status union all select 'added', 'Added' union all select 'o_orderkey', case when (select round(avg(o_orderkey), 4) from b) <> (select round(avg(o_orderkey), 4) from a) then 'Changed' else 'Unchanged' end union all select 'o_totalprice', case when (select round(avg(o_totalprice), 4) from b) <> (select round(avg(o_totalprice), 4) from a) or (select count(*) - count(o_totalprice) from b) <> (select count(*) - count(o_totalprice) from a) then 'Changed' else 'Unchanged' end union all select 'o_orderpriority', case when (select count(distinct o_orderpriority) from b) <> (select count(distinct o_orderpriority) from a) then 'Changed' else 'Unchanged' end"
+SUMMARY_SQL = _summary_sql()
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +441,7 @@ WINDOWS_SQL = "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n
 def _build() -> tuple[dict[str, Callable], dict[str, str]]:
     q: dict[str, tuple[Callable, str | None]] = {}
     for section, names in {
-        "schema": ("lineitem", "customer", "holes", "events"), "statistics": ("lineitem", "orders", "events", "part", "holes"), "quality": ("lineitem", "holes", "documents"),
+        "schema": ("lineitem", "customer", "holes", "events", "documents", "orders"), "statistics": ("lineitem", "orders", "events", "part", "holes"), "quality": ("lineitem", "holes", "documents"),
         "ml": ("lineitem", "customer", "labels", "documents"), "etl": ("documents", "supplier", "talks", "holes"),
     }.items():
         for n in names:
@@ -371,9 +450,11 @@ def _build() -> tuple[dict[str, Callable], dict[str, str]]:
     q["quality_score_by_column_customer"] = score_query("customer", None, "column")
     q["quality_score_by_column_holes"] = score_query("holes", None, "column")
     q["quality_score_weighted_lineitem"] = score_query("lineitem", {"outliers": 50, "missing": 10}, "overall")
-    for n in ("customer", "part", "talks", "supplier"):
+    for n in ("customer", "part", "talks", "supplier", "contacts"):
         q[f"pii_{n}"] = pii_query(n)
     q["pii_any_orders"] = pii_query("orders", 0)
+    q["pii_any_documents"] = pii_query("documents", 0)
+    q["mask_contacts"] = (mask_table, MASK_TABLE_SQL)
     q["mask_values"] = (mask_values, MASK_SQL)
     q["corr_pairs_lineitem"] = corr_query("lineitem")
     q["corr_matrix_part"] = corr_query("part", by="matrix")
@@ -385,12 +466,18 @@ def _build() -> tuple[dict[str, Callable], dict[str, str]]:
     for n in ("lineitem", "labels", "holes", "events", "documents"):
         q[f"alerts_{n}"] = alerts_query(n)
     q["alerts_high_holes"] = alerts_query("holes", "high")
-    q["alerts_pii_part"] = (pii_alerts, PII_ALERTS_SQL)
+    q["alerts_high_contacts"] = alerts_query("contacts", "high")
+    q["alerts_pii_part"] = alerts_query("part")
+    q["alerts_contacts"] = alerts_query("contacts")
     q["semantic_types_orders"] = (semantic_query("orders"), SEMANTIC_ORDERS_SQL)
     q["semantic_types_labels"] = (semantic_query("labels"), SEMANTIC_LABELS_SQL)
     s, e = SOURCES["statuses"], SOURCES["eventvalue"]
     q["relationships_orders"] = (relation("statuses"), relation_sql([cramer_sql(s, "o_orderstatus", "categorical", "o_orderpriority", "categorical"), eta_sql(s, "o_orderstatus", "categorical", "o_totalprice", "currency"), eta_sql(s, "o_orderpriority", "categorical", "o_totalprice", "currency"), trend_sql(s, "o_totalprice", "currency", "o_orderdate", "datetime", False)]))
     q["relationships_events"] = (relation("eventvalue"), relation_sql([eta_sql(e, "event_type", "categorical", "value", "currency"), trend_sql(e, "value", "currency", "ts", "datetime", False)]))
+    q["relationships_prices"] = (relation("prices"), PRICES_SQL)
+    q["relationships_top_prices"] = (top_prices, TOP_SQL)
+    q["relationships_graph_prices"] = (graph_prices, GRAPH_SQL)
+    q["redundant_groups_prices"] = (redundant_prices, GROUPS_SQL)
     q["cramers_v_flags"] = (relation("flags"), relation_sql([cramer_sql(SOURCES["flags"], "l_returnflag", "categorical", "l_linestatus", "categorical")]))
     q["functional_dependencies_customer"] = (dependencies, FD_SQL)
     q["redundant_columns_part"] = (redundant, REDUNDANT_SQL)
@@ -398,6 +485,7 @@ def _build() -> tuple[dict[str, Callable], dict[str, str]]:
     q["compare_orders"] = (compare("ml"), compare_sql(False))
     q["compare_orders_changes_only"] = (compare("ml", True), compare_sql(True))
     q["compare_schema_orders"] = (lambda sp, sf: compare("schema")(sp, sf).select("section", "metric", "status"), "select 'Schema' as section, 'added' as metric, 'New Column' as status union all select 'Schema', 'o_orderstatus', 'Deleted Column'")
+    q["compare_dataset_orders"] = (compare_dataset, DATASET_SQL)
     q["compare_summary_orders"] = (compare_summary, SUMMARY_SQL)
     q["windowed_quality_events"] = (windows, WINDOWS_SQL)
     return {k: v[0] for k, v in q.items()}, {k: v[1] for k, v in q.items() if v[1]}
