@@ -48,7 +48,7 @@ def has_special(c: Column) -> Column:
 
 def is_numeric_like(c: Column) -> Column:
     s = strip(c)
-    return s.rlike(NUMBER) | F.lower(s).rlike(r"\A[+-]?inf(inity)?\z")
+    return c.rlike(r"[0-9]|[iI][nN][fF]") & (s.rlike(NUMBER) | F.lower(s).rlike(r"\A[+-]?inf(inity)?\z"))
 
 
 def _digits_of_phone(c: Column) -> Column:
@@ -61,19 +61,25 @@ def is_phone(c: Column) -> Column:
 
 
 def matches(c: Column) -> dict[str, Column]:
-    """One predicate per PII type over stripped text."""
+    """One predicate per PII type over stripped text. What a match can't lack is looked for before the pattern runs."""
     words = "|".join(w.replace(".", r"\.") for w in ADDRESS_WORDS)
     return {
-        "EMAIL": c.rlike(EMAIL),
-        "PHONE": is_phone(c),
-        "POSSIBLE_ID": c.rlike(ID12),
-        "POSSIBLE_PAN": c.rlike(PAN),
-        "IP": c.rlike(IP),
+        "EMAIL": c.contains("@") & c.rlike(EMAIL),
+        "PHONE": (F.length(c) >= 10) & is_phone(c),
+        "POSSIBLE_ID": F.length(c).between(12, 14) & c.rlike(ID12),
+        "POSSIBLE_PAN": (F.length(c) == 10) & c.rlike(PAN),
+        "IP": F.length(c).between(7, 15) & c.rlike(IP),
         "POSSIBLE_NAME": (F.length(c) <= 40) & c.rlike(rf"\A{_WORD}(\s+{_WORD}){{1,3}}\z"),
         "POSSIBLE_ADDRESS": (F.length(c) >= 8) & c.rlike(r"\d") & (F.lower(c).rlike(words) | c.contains(",")),
     }
 
 
+def matches_integer(x: Column) -> dict[str, Column]:
+    """The same for the decimal digits of an integer: 10 to 13 of them make a phone number, 12 without a sign an id."""
+    no = F.lit(False)
+    return {k: no for k in PII_TYPES} | {"PHONE": x.between(10**9, 10**13 - 1) | x.between(1 - 10**13, -(10**9)), "POSSIBLE_ID": x.between(10**11, 10**12 - 1)}
+
+
 def mask(c: Column, kind: str, char: str = "*") -> Column:
     """Masks non-null values of a PII type; null stays null."""
     s = strip(c.cast("string"))

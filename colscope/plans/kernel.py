@@ -7,6 +7,7 @@ column. What comes to the driver is one row per column. Percentiles and distinct
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
@@ -19,7 +20,8 @@ from ..functions import exprs
 from ..functions.families import as_text, col, families, groupable, logical_bytes, value
 from .quantiles import exact_percentiles
 
-CHUNK = 30  # columns per aggregate, so that generated code stays below the JVM's limits
+CHUNK = 30  # columns per aggregate of few cells
+EACH, AT_ONCE = 2, 4  # columns per aggregate of pass A: beyond, the generated method is too long for the JIT; and jobs at a time
 QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -96,18 +98,24 @@ def _clean(v: Any) -> Any:
     return None if isinstance(v, float) and math.isnan(v) else v
 
 
-def _run(df: DataFrame, wanted: list[dict[str, Column]]) -> list[dict[str, Any]]:
-    """One aggregate per CHUNK of columns; the first also counts rows."""
-    out: list[dict[str, Any]] = []
-    for k in range(0, len(wanted), CHUNK):
-        part = wanted[k : k + CHUNK]
+def _run(df: DataFrame, wanted: list[dict[str, Column]], each: int = CHUNK) -> list[dict[str, Any]]:
+    """One aggregate per ``each`` columns, which reads only these, AT_ONCE jobs at a time."""
+
+    def one(k: int) -> list[dict[str, Any]]:
+        part = wanted[k : k + each]
         cells = [c.alias(f"{i}_{n}") for i, e in enumerate(part) for n, c in e.items()]
         row = df.agg(F.count("*").alias("n"), *cells).first().asDict()
-        out += [{"n": row["n"], **{n: _clean(row[f"{i}_{n}"]) for n in e}} for i, e in enumerate(part)]
-    return out
+        return [{"n": row["n"], **{n: _clean(row[f"{i}_{n}"]) for n in e}} for i, e in enumerate(part)]
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [r for part in pool.map(one, range(0, len(wanted), each)) for r in part]
 
 
 def _first(f: T.StructField, fam: str, pii: bool, approx: bool) -> dict[str, Column]:
+    return _measures(f, fam, approx) | (_personal(f, fam) if pii else {})
+
+
+def _measures(f: T.StructField, fam: str, approx: bool) -> dict[str, Column]:
     c = groupable(f.name, fam, f)
     out = {"non_null": F.count(c), "bytes": logical_bytes(f.name, f)}
     if approx:
@@ -116,7 +124,7 @@ def _first(f: T.StructField, fam: str, pii: bool, approx: bool) -> dict[str, Col
         x = value(f.name, fam, f)
         finite = F.when(F.abs(x) != float("inf"), x)
         out |= {
-            "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "var": F.var_samp(x), "g1": F.skewness(x), "g2": F.kurtosis(x),
+            "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "var": F.var_samp(x), "g1": F.skewness(x), "g2": F.kurtosis(x),
             "sq": F.avg(x * x), "ln": F.avg(F.when(finite > 0, F.ln(finite))), "inv": F.sum(F.when(x > 0, 1 / x)),
             "zero": F.count_if(x == 0), "negative": F.count_if(x < 0), "inf": F.count_if(F.abs(x) == float("inf")),
         }
@@ -124,29 +132,33 @@ def _first(f: T.StructField, fam: str, pii: bool, approx: bool) -> dict[str, Col
             out["q"] = F.percentile_approx(x, list(QUANTILES), 10_000)
     else:
         t = as_text(f.name, fam, f)
+        if fam in ("boolean", "date", "timestamp"):  # letters alone, or digits with signs between them
+            zero = F.count_if(F.lit(False))
+            return out | {"space": zero, "empty": zero, "numeric_like": zero, "special": zero if fam == "boolean" else F.count(c)}
         out |= {"space": F.count_if(exprs.has_outer_space(t)), "empty": F.count_if(t == ""), "special": F.count_if(exprs.has_special(t)), "numeric_like": F.count_if(exprs.is_numeric_like(t))}
-    if pii:
-        s = F.col(_STRIPPED + f.name.replace("`", "``") + "`")
-        possible = exprs.matches(s)
-        if fam == "numeric":  # digits, a sign, a point and an exponent at most
-            whole = not isinstance(f.dataType, (T.FloatType, T.DoubleType))
-            possible = {k: m if whole and k in ("PHONE", "POSSIBLE_ID") else F.lit(False) for k, m in possible.items()}
-        out |= {"texts": F.count(s), **{f"is_{k}": F.count_if(m) for k, m in possible.items()}}
     return out
 
 
-_STRIPPED = "`_cs_stripped_"
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _personal(f: T.StructField, fam: str) -> dict[str, Column]:
+    """How much text a column has and how much of it looks like each PII type. Fractions, times and truth values never do."""
+    if fam in ("string", "other") or (isinstance(f.dataType, T.DecimalType) and not f.dataType.scale):
+        s = F.col("`_cs_stripped_" + f.name.replace("`", "``") + "`")
+        return {"texts": F.count(s), **{f"is_{k}": F.count_if(m) for k, m in exprs.matches(s).items()}}
+    if isinstance(f.dataType, _INTEGERS):
+        return {"texts": F.count(col(f.name)), **{f"is_{k}": F.count_if(m) for k, m in exprs.matches_integer(col(f.name).cast("long")).items()}}
+    return {"texts": F.count(col(f.name)), **{f"is_{k}": F.count_if(F.lit(False)) for k in exprs.PII_TYPES}}
 
 
 def _with_stripped(df: DataFrame) -> DataFrame:
-    """Each column's text without outer white space beside it, made once for all predicates that read it; null where nothing is left."""
+    """Each text column without outer white space beside it, made once for all predicates that read it; null where nothing is left."""
     fams, extra = families(df), []
     for f in df.schema.fields:
-        s = as_text(f.name, fams[f.name], f)
-        if fams[f.name] != "numeric":
-            s = exprs.strip(s)
-            s = F.when(s != "", s)
-        extra.append(s.alias(f"_cs_stripped_{f.name}"))
+        if fams[f.name] in ("string", "other") or isinstance(f.dataType, T.DecimalType):
+            s = exprs.strip(as_text(f.name, fams[f.name], f))
+            extra.append(F.when(s != "", s).alias(f"_cs_stripped_{f.name}"))
     return df.select("*", *extra)
 
 
@@ -174,7 +186,9 @@ def column_stats(df: DataFrame, pii: bool = False, approx: bool = False, spread:
     """Statistics of all columns, in their order. spread: percentiles and pass B; counts: pass F (always exact unless ``approx``)."""
     fams = families(df)
     out = []
-    for f, got in zip(df.schema.fields, _run(_with_stripped(df) if pii else df, [_first(f, fams[f.name], pii, approx) for f in df.schema.fields]), strict=True):
+    for f, got in zip(df.schema.fields, _run(_with_stripped(df) if pii else df, [_first(f, fams[f.name], pii, approx) for f in df.schema.fields], EACH), strict=True):
+        if "var" in got:
+            got["std"] = None if got["var"] is None else math.sqrt(got["var"])
         out.append(ColumnStats(f.name, fams[f.name], f.dataType.simpleString(), got.pop("n"), got))
     fields = {f.name: f for f in df.schema.fields}
     if spread and not approx:

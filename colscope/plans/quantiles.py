@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 HELD = 20_000
 ACCURACY = 10_000  # a sketch misses a rank by one part in so many
-EACH = 60  # order statistics per aggregate
+EACH, AT_ONCE = 20, 4  # order statistics per aggregate, aggregates at a time
 
 
 @dataclass
@@ -106,8 +107,8 @@ def exact_percentiles(df: DataFrame, xs: list[Column], sizes: list[int], wanted:
         places.append(own)
     todo = list(targets.values())
     while todo:
-        for k in range(0, len(todo), EACH):
-            _settle(df, xs, todo[k : k + EACH], sizes, held)
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # each part has its own targets
+            list(pool.map(lambda k: _settle(df, xs, todo[k : k + EACH], sizes, held), range(0, len(todo), EACH)))
         todo = [t for t in todo if t.found is None]
 
     def between(i: int, a: int, b: int, pos: float) -> float:
