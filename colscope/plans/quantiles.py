@@ -65,10 +65,29 @@ def _narrow(df: DataFrame, xs: list[Column], part: list[_Target]) -> list[tuple[
 
 
 def _settle(df: DataFrame, xs: list[Column], part: list[_Target], sizes: list[int], held: int) -> None:
+    wide = [t for t in part if t.between > held]
+    if wide:
+        _place(df, xs, wide, sizes)
+    groups: dict[tuple, list[_Target]] = defaultdict(list)
+    for t in part:
+        if t.found is None and t.between <= held:
+            groups[t.column, t.lo, t.hi].append(t)
+    if not groups:
+        return
+    some, cells = None, []
+    for (i, *_), ts in groups.items():
+        c = ts[0].inside(xs[i])
+        some = c if some is None else some | c
+        cells.append(F.sort_array(F.collect_list(F.when(c, xs[i]))))
+    for ts, values in zip(groups.values(), _ask(df.where(some), cells), strict=True):
+        for t in ts:
+            t.found = values[t.index - t.first]
+
+
+def _place(df: DataFrame, xs: list[Column], part: list[_Target], sizes: list[int]) -> None:
+    """Narrows each target's interval, or finds it on a bound."""
     near = _narrow(df, xs, part)
-    cells = [F.count_if(c) for t, (lo, hi) in zip(part, near, strict=True) for x in (xs[t.column],) for c in (x < lo, x <= lo, x < hi, x <= hi)]
-    counts = _ask(df, cells)
-    gather = []
+    counts = _ask(df, [F.count_if(c) for t, (lo, hi) in zip(part, near, strict=True) for x in (xs[t.column],) for c in (x < lo, x <= lo, x < hi, x <= hi)])
     for k, (t, (lo, hi)) in enumerate(zip(part, near, strict=True)):
         below, upto, before, last = counts[4 * k : 4 * k + 4]
         if below <= t.index < upto:
@@ -77,19 +96,9 @@ def _settle(df: DataFrame, xs: list[Column], part: list[_Target], sizes: list[in
             t.found = hi
         elif upto <= t.index < before:
             t.lo, t.hi, t.first, t.between = lo, hi, upto, before - upto
-            if t.between <= held:
-                gather.append(t)
         else:  # the sketch was further off than it says: start again with wider bounds
             t.lo = t.hi = None
             t.first, t.between, t.margin = 0, sizes[t.column], t.margin * 8
-    if gather:
-        some = None
-        for t in gather:
-            c = t.inside(xs[t.column])
-            some = c if some is None else some | c
-        rows = _ask(df.where(some), [F.sort_array(F.collect_list(F.when(t.inside(xs[t.column]), xs[t.column]))) for t in gather])
-        for t, values in zip(gather, rows, strict=True):
-            t.found = values[t.index - t.first]
 
 
 def exact_percentiles(df: DataFrame, xs: list[Column], sizes: list[int], wanted: tuple[float, ...], held: int = HELD) -> list[list[float] | None]:
