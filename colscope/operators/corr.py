@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.families import choice, col, families, value
 from ..plans.kernel import rounded, table
-from ..plans.ranks import average_ranks, pearson
+from ..plans.ranks import bounds_of, ranked
 
 METHODS = ("pearson", "spearman", "kendall")
-PAIRS_PER_JOB = 150
+CELLS, AT_ONCE = 24, 4  # sums per aggregate: with more of them the generated code is too long for the JIT; and jobs at a time
+LOOKUP = 10_000  # a column with so many values has its ranks made on the driver and broadcast
 KENDALL_ROWS = 1_000_000  # distinct pairs of values that come to the driver at most; beyond: sample first
 
 Pair = tuple[str, str]
+View = tuple[str, frozenset]  # a column in those rows where others, which have nulls, are given
 
 
 def numeric_frame(df: DataFrame) -> DataFrame:
@@ -25,41 +28,118 @@ def numeric_frame(df: DataFrame) -> DataFrame:
     return df.select(*(value(f.name, "numeric", f).alias(f.name) for f in df.schema.fields if fams[f.name] == "numeric"))
 
 
-def pearson_pairs(df: DataFrame, pairs: list[Pair]) -> dict[Pair, tuple[float | None, int]]:
-    """r and the number of complete rows for all pairs, PAIRS_PER_JOB in one aggregate."""
-    out: dict[Pair, tuple[float | None, int]] = {}
-    for k in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[k : k + PAIRS_PER_JOB]
-        row = df.agg(*(e for i, (a, b) in enumerate(part) for e in (pearson(col(a), col(b)).alias(f"r{i}"), F.regr_count(col(b), col(a)).alias(f"n{i}")))).first()
-        for i, p in enumerate(part):
-            r = row[f"r{i}"]
-            out[p] = (None if r is None or math.isnan(r) else max(-1.0, min(1.0, r)), row[f"n{i}"])
+def _ask(df: DataFrame, cells: list[Column]) -> list:
+    """The aggregates ``cells``, CELLS per job."""
+
+    def one(k: int) -> list:
+        return list(df.agg(*(c.alias(f"c{i}") for i, c in enumerate(cells[k : k + CELLS]))).first())
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [v for part in pool.map(one, range(0, len(cells), CELLS)) for v in part]
+
+
+def _given(rows: frozenset) -> Column:
+    """Whether all columns of ``rows`` are given."""
+    out = F.lit(True)
+    for c in sorted(rows):
+        out &= col(c).isNotNull()
     return out
 
 
-def spearman_pairs(df: DataFrame, pairs: list[Pair]) -> dict[Pair, tuple[float | None, int]]:
-    """Columns without nulls are ranked once; a pair with nulls is ranked on its complete rows, as ranks depend on them."""
+def _views(pairs: list[Pair], nulls: dict[str, int]) -> dict[Pair, frozenset]:
+    """Which columns' nulls decide a pair's complete rows: pairs with the same ones share what is known of their columns there."""
+    return {p: frozenset(c for c in p if nulls[c]) for p in pairs}
+
+
+def _r(sxy: float | None, sxx: float | None, syy: float | None) -> float | None:
+    """None on a constant and where a sum is no number."""
+    if sxy is None or not sxx or not syy or not (d := math.sqrt(sxx) * math.sqrt(syy)) or math.isnan(r := sxy / d):
+        return None
+    return max(-1.0, min(1.0, r))
+
+
+def pearson_pairs(df: DataFrame, pairs: list[Pair]) -> dict[Pair, tuple[float | None, int]]:
+    """r and the number of complete rows for all pairs: means first, then sums of products of what is left without them."""
     names = sorted({c for p in pairs for c in p})
     if not names:
         return {}
-    nulls = df.agg(*(F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(names))).first()
-    whole = {c for i, c in enumerate(names) if not nulls[f"c{i}"]}
-    out: dict[Pair, tuple[float | None, int]] = {}
+    masks = _views(pairs, dict(zip(names, _ask(df, [F.count_if(col(c).isNull()) for c in names]), strict=True)))
+    views: list[View] = list(dict.fromkeys((c, masks[p]) for p in pairs for c in p))
+    x = {w: F.when(_given(w[1]), col(w[0]).cast("double")) if w[1] else col(w[0]).cast("double") for w in views}
+    got = _ask(df, [f(x[w]) for w in views for f in (F.count, F.avg, F.min, F.max)])
+    n, mean, low, high = ({w: got[4 * i + k] for i, w in enumerate(views)} for k in range(4))
+    live = {w for w in views if n[w] and low[w] != high[w]}
+    off = {w: x[w] - F.lit(mean[w]) for w in live}
+    both = {p: ((p[0], m), (p[1], m)) for p, m in masks.items()}
+    ask = [p for p, (a, b) in both.items() if a in live and b in live]
+    used = [w for w in views if any(w in both[p] for p in ask)]
+    sums = _ask(df, [F.sum(off[w] * off[w]) for w in used] + [F.sum(off[a] * off[b]) for a, b in (both[p] for p in ask)])
+    square, product = dict(zip(used, sums)), dict(zip(ask, sums[len(used) :], strict=True))  # noqa: B905
+    return {p: (_r(product[p], square[a], square[b]) if p in product else None, n[a]) for p, (a, b) in both.items()}
 
-    def ranked(part: DataFrame, cols: list[str]) -> DataFrame:
-        for c in cols:
-            r = average_ranks(part, col(c)).withColumnsRenamed({"v": "_v", "rank": f"_r_{cols.index(c)}"})
-            part = part.join(r, col(c) == F.col("_v")).drop("_v")
-        return part.select(*(F.col(f"_r_{i}").alias(c) for i, c in enumerate(cols)))
-
-    easy = [p for p in pairs if p[0] in whole and p[1] in whole]
-    if easy:
-        cols = sorted({c for p in easy for c in p})
-        out |= pearson_pairs(ranked(df.select(*map(col, cols)), cols), easy)
-    for a, b in (p for p in pairs if p not in out):
-        part = df.select(col(a), col(b)).where(col(a).isNotNull() & col(b).isNotNull())
-        out |= pearson_pairs(ranked(part, [a, b]), [(a, b)])
-    return out
+
+def spearman_pairs(df: DataFrame, pairs: list[Pair]) -> dict[Pair, tuple[float | None, int]]:
+    """The same of average ranks, which are taken among the complete rows of a pair; pairs that share these rows share the ranks.
+
+    Columns of up to LOOKUP values get their ranks by a broadcast. The rows are grouped once by each other column, with the sums of
+    the ranks known so far: these times the group's own ranks are the sums of products. Only where one such column has yet to meet
+    another are its ranks joined to the rows.
+    """
+    names = sorted({c for p in pairs for c in p})
+    if not names:
+        return {}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.select(*(col(c).alias(c) for c in names))
+    got = _ask(df, [f for c in names for f in (F.count_if(col(c).isNull()), F.approx_count_distinct(col(c)))])
+    nulls, about = ({c: got[2 * i + k] for i, c in enumerate(names)} for k in (0, 1))
+    masks = _views(pairs, nulls)
+    rows = list(dict.fromkeys(masks.values()))
+    n = dict(zip(rows, _ask(df, [F.count_if(_given(m)) for m in rows]), strict=True))
+    of = {c: list(dict.fromkeys(m for p, m in masks.items() if c in p)) for c in names}
+    name = {(c, m): f"_r_{i}_{rows.index(m)}" for i, c in enumerate(names) for m in of[c]}
+    square: dict[View, float | None] = {}
+    product: dict[Pair, float | None] = {}
+    done: set[str] = set()
+    held: list[DataFrame] = []
+
+    def counts(part: DataFrame, c: str, *more: Column) -> DataFrame:
+        return part.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(*(F.count_if(_given(m)).alias(f"c{k}") for k, m in enumerate(of[c])), *more)
+
+    for c in names:
+        if about[c] > LOOKUP * 1.2 or len(found := counts(df, c).limit(LOOKUP + 1).collect()) > LOOKUP:
+            continue
+        found.sort(key=lambda r: r.v)
+        ranks: list[list] = [[float(r.v)] for r in found]
+        for k, m in enumerate(of[c]):
+            before, total = 0, 0.0
+            for row, r in zip(ranks, found, strict=True):
+                here = r[f"c{k}"]
+                row.append(before + (here + 1) / 2 - (n[m] + 1) / 2)
+                before, total = before + here, total + here * row[-1] ** 2
+            square[c, m] = total
+        known = table(df, ranks, ", ".join(["_v double", *(f"{name[c, m]} double" for m in of[c])]))
+        df = df.join(F.broadcast(known), col(c).cast("double") == F.col("_v"), "left").drop("_v")
+        done.add(c)
+    few = [p for p in pairs if p[0] in done and p[1] in done]
+    in_rows = lambda c, m: F.when(_given(m), F.col(name[c, m])) if m else F.col(name[c, m])
+    product |= zip(few, _ask(df, [F.sum(in_rows(p[0], masks[p]) * F.col(name[p[1], masks[p]])) for p in few]) if few else [], strict=True)
+    many = sorted((c for c in names if c not in done), key=lambda c: about[c])
+    bounds = dict(zip(many, _ask(df, [bounds_of(col(c), parts) for c in many]) if many and parts > 1 else [None] * len(many), strict=True))
+    for c in many:
+        meets = [(p, p[0] if p[1] == c else p[1]) for p in pairs if c in p and p not in product and {*p} - {c} <= done]
+        sums = [F.coalesce(F.sum(in_rows(b, masks[p])), F.lit(0.0)).alias(f"s{i}") for i, (p, b) in enumerate(meets)]
+        held.append(grouped := counts(df, c, *sums).persist())  # read several times: its ranges' totals, the ranks, and the rows that get them
+        own = ranked(grouped, [f"c{k}" for k in range(len(of[c]))], bounds[c] or [])
+        off = {m: F.col(f"rank_c{k}") - (n[m] + 1) / 2 for k, m in enumerate(of[c])}
+        got = _ask(own, [F.sum(F.col(f"c{k}") * off[m] * off[m]) for k, m in enumerate(of[c])] + [F.sum(off[masks[p]] * F.col(f"s{i}")) for i, (p, _) in enumerate(meets)])
+        square |= {(c, m): v for m, v in zip(of[c], got, strict=False)}
+        product |= zip((p for p, _ in meets), got[len(of[c]) :], strict=True)
+        done.add(c)
+        if any(p not in product for p in pairs if c in p):
+            df = df.join(own.select(F.col("v").alias("_v"), *(off[m].alias(name[c, m]) for m in of[c])), col(c) == F.col("_v"), "left").drop("_v")
+    for grouped in held:
+        grouped.unpersist()
+    return {p: (_r(product[p], square[p[0], m], square[p[1], m]) if n[m] else None, n[m]) for p, m in masks.items()}
 
 
 def tau_b(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:

@@ -1,4 +1,4 @@
-"""Semantic type of each column: one aggregate over all columns, then a decision list on the driver."""
+"""Semantic type of each column: a grouping by its values, of which the rest is measured, then a decision list on the driver."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.families import families, groupable, value
+from ..functions.families import families, groupable
 from ..plans.kernel import CHUNK
 
 # Words in a column's name, and what counts as yes and no.
@@ -26,21 +26,25 @@ def _hint(name: str, words: tuple[str, ...]) -> bool:
     return any(w in name.lower() for w in words)
 
 
-def _measure(field, fam: str) -> dict[str, Column]:  # noqa: ANN001
-    c = groupable(field.name, fam, field)
-    out = {"n": F.count(c), "u": F.count_distinct(c)}
+_CELLS = ("n", "u", "yes_no", "lat", "lon", "texts", "email", "phone", "dates", "length")
+
+
+def _measure(v: Column, k: Column, fam: str) -> dict[str, Column]:
+    """Of distinct non-null values ``v`` that occur ``k`` times."""
+    rows = lambda c: F.coalesce(F.sum(F.when(c, k)), F.lit(0))
+    out = {"n": F.coalesce(F.sum(k), F.lit(0)), "u": F.count("*")}
     if fam in ("string", "numeric", "boolean"):
-        t = F.lower(exprs.strip(c.cast("string")))
+        t = F.lower(exprs.strip(v.cast("string")))
         if fam == "numeric":
             t = F.regexp_replace(t, r"\.0\z", "")
-        out["yes_no"] = F.count_if(t.isin(*YES_NO))
+        out["yes_no"] = rows(t.isin(*YES_NO))
     if fam == "numeric":
-        x = value(field.name, fam, field)
-        out |= {"lat": F.count_if(x.between(-90, 90)), "lon": F.count_if(x.between(-180, 180))}
+        x = v.cast("double")
+        out |= {"lat": rows(x.between(-90, 90)), "lon": rows(x.between(-180, 180))}
     if fam == "string":
-        s = exprs.strip(c)
+        s = exprs.strip(v)
         s = F.when(s != "", s)
-        out |= {"texts": F.count(s), "email": F.count_if(s.rlike(exprs.EMAIL)), "phone": F.count_if(exprs.is_phone(s)), "dates": F.count_if(exprs.parses_as_date(s)), "length": F.avg(F.length(s))}
+        out |= {"texts": rows(s.isNotNull()), "email": rows(s.rlike(exprs.EMAIL)), "phone": rows(exprs.is_phone(s)), "dates": rows(exprs.parses_as_date(s)), "length": F.sum(F.length(s) * k) / F.sum(F.when(s.isNotNull(), k))}
     return out
 
 
@@ -80,17 +84,28 @@ def decide(name: str, fam: str, m: dict, id_uniqueness: float = ID_UNIQUENESS) -
     return next((label for hit, label in rules if hit), "categorical")
 
 
-def semantic_types(df: DataFrame, id_uniqueness: float = ID_UNIQUENESS) -> dict[str, str]:
+def measures(df: DataFrame) -> dict[str, dict]:
+    """Per column its non-null values (n), distinct ones (u) and what decide() looks at. A grouping per column, all in one job."""
     fams, out = families(df), {}
     fields = df.schema.fields
     for k in range(0, len(fields), CHUNK):
-        part = [(f, _measure(f, fams[f.name])) for f in fields[k : k + CHUNK]]
-        row = df.agg(*(c.alias(f"{i}_{key}") for i, (_, m) in enumerate(part) for key, c in m.items())).first()
-        for i, (f, m) in enumerate(part):
-            out[f.name] = decide(f.name, fams[f.name], {key: row[f"{i}_{key}"] for key in m}, id_uniqueness)
+        parts = None
+        for i, f in enumerate(fields[k : k + CHUNK]):
+            counts = df.select(groupable(f.name, fams[f.name], f).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("k"))
+            m = _measure(F.col("v"), F.col("k"), fams[f.name])
+            one = counts.agg(F.lit(k + i).alias("i"), *(m.get(key, F.lit(None)).cast("double" if key == "length" else "long").alias(key) for key in _CELLS))
+            parts = one if parts is None else parts.unionByName(one)
+        for r in parts.collect():
+            out[fields[r.i].name] = {key: r[key] for key in _CELLS}
     return out
 
 
+def semantic_types(df: DataFrame, id_uniqueness: float = ID_UNIQUENESS, found: dict[str, dict] | None = None) -> dict[str, str]:
+    """found: measures() of the frame, where they are known."""
+    fams, found = families(df), measures(df) if found is None else found
+    return {c: decide(c, fams[c], found[c], id_uniqueness) for c in df.columns}
+
+
 def detect_semantic_type(df: DataFrame, name: str) -> str:
     return semantic_types(df.select("`" + name.replace("`", "``") + "`"))[name]
 

@@ -4,12 +4,14 @@ import json
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from colscope import DataComparator, DataProfiler, RelationshipAnalyzer, RelationshipConfig, profile_of, semantic_type_counts, semantic_types
 from colscope.functions import special
-from colscope.operators import relate
+from colscope.operators import corr, relate
 from colscope.operators.corr import tau_b
 
 
@@ -299,3 +301,38 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen and seen[0] == 3
+
+
+def _jobs(spark, run):
+    """What ``run`` returns, and the plan of every query that it started."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = store.executionsList(int(before), 100_000)
+    return out, [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+
+
+def test_spearman_groups_once(spark):
+    """One set of bounds and few jobs for all columns, however many pairs have nulls; and the ranks are right."""
+    r = np.random.default_rng(3)
+    n = 25_000
+    a, b, c = r.normal(size=n), r.normal(size=n), r.integers(0, 5, n).astype(float)
+    b += a
+    d = np.where(r.random(n) < 0.3, np.nan, c + r.normal(size=n).round(1))
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": c, "d": d})).selectExpr("a", "b", "c", "nanvl(d, null) as d").cache()
+    pairs = [(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1 :]]
+    got, plans = _jobs(spark, lambda: corr.spearman_pairs(df, pairs))
+    want = pd.DataFrame({"a": a, "b": b, "c": c, "d": d})
+    for x, y in pairs:
+        part = want[[x, y]].dropna().rank()
+        assert got[x, y] == (pytest.approx(part[x].corr(part[y]), abs=1e-9), len(part)), (x, y)
+    assert sum("percentile_approx" in p for p in plans) == 1 and len(plans) < 20
+
+
+def test_pearson_of_shifted_and_constant(spark):
+    """Means are taken off within a pair's complete rows: a large offset, or a column that is constant only there, gives no noise."""
+    rows = [(1e9 + i % 7, 0.1 if i % 2 else 5.0, float(i) if i % 2 else None, 1e9 + i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = corr.pearson_pairs(df, [("a", "d"), ("b", "c"), ("a", "b")])
+    assert got["a", "d"] == (pytest.approx(1.0, abs=1e-12), 1000) and got["b", "c"] == (None, 500) and got["a", "b"][1] == 1000
